@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, mixing, plainform, splits, tokens
+from . import components, mixing, plainform, spans, splits, tokens
 
 
 def _not_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p8_ids, p8_decoded, p9_mixture, p9_report)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_parts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared)}
 
 _COMPONENTS = r"""
 with recursive labels as (
