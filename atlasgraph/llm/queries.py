@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, mixing, plainform, spans, splits, tokens
+from . import components, docpairs, mixing, plainform, spans, splits, tokens
 
 
 def _not_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_groups(spark, sf_dir).where("root_no <> group_no").select("root_no", "group_no")
 
 
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.code_description_pairs(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "function_facts"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_pairs(spark, sf_dir).select("file_id", "qualname").distinct()
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -64,7 +72,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared)}
 
 _COMPONENTS = r"""
 with recursive labels as (
