@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import components, docpairs, mixing, plainform, spans, splits, tokens
+from . import brokenpairs, components, docpairs, mixing, plainform, spans, splits, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brokenpairs.broken_pairs(table(spark, sf_dir, "judge_pp_b"))
 
 
 def _not_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +76,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared)}
 
 _COMPONENTS = r"""
 with recursive labels as (
