@@ -1,116 +1,40 @@
 """Messages delivered more than once: exactly one copy of each stays.
 
-A structured stream reads the deliveries, and a keyed state holds for each identifier the best copy seen so
-far: (ts, row) of the earliest. State leaves when the event-time watermark has passed a copy's time by
-`retention`; the state store, the source's offsets and the output's files commit together by batch. A copy that comes
-after its identifier's state has left is looked up among the kept copies that the stream has written.
-
-Scale: before the shuffle each Arrow batch keeps one candidate by identifier; the copies that already lost go
-to side lanes, so that an identifier with a third of all rows neither fills one task nor one state.
+A structured stream reads the deliveries. Its keyed state store holds, for each identifier seen, the best copy so far:
+the earliest (ts, row). A state belongs to a stretch of event time and leaves when the watermark has passed
+that stretch. Every micro-batch writes the states it changed to a folder named by its number, so a batch that
+is repeated after a failure replaces its own output: offsets, state and output advance together.
+
+A copy that comes after its state has left is late, and the state store doesn't see it. The stream counts such
+rows; if there are any, the copies older than the final watermark are looked up in the source and compete with
+the states that were written.
+
+Scale: the state store is the JVM's; copies are reduced by identifier before the shuffle, so an identifier with a
+third of all rows moves one row per task. The rows to drop come from an anti-join on the row number, which
+has no hot keys.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ntz_micros, shared_dir
 
-LANES = 64
 NEVER = 2**62
-EVENTS = "kind string, k1 string, k2 string, us long, row_no long"
-#: Checked again when the watermark may have moved on; the watermark, not the clock, decides.
-RECHECK_MS = 60_000
-
-
-def _combine(batches):
-    """Within an Arrow batch only the earliest copy of an identifier stays in lane 0."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf.sort_values(["us", "row_no"], kind="stable")
-        lost = pdf.duplicated(["k1", "k2"], keep="first")
-        pdf["lane"] = 0
-        pdf.loc[lost, "lane"] = 1 + pdf.loc[lost, "row_no"].abs() % LANES
-        yield pdf
-
-
-def _resolver(retention_us: int):
-    def resolve(key, pdfs, state: GroupState):
-        lane = key[2]
-        if state.hasTimedOut:
-            best = state.get
-            if state.getCurrentWatermarkMs() * 1000 > best[0] + retention_us:
-                state.remove()
-            else:
-                state.setTimeoutDuration(RECHECK_MS)
-            return
-        if lane:
-            for pdf in pdfs:
-                yield pd.DataFrame({"kind": "drop", "k1": key[0], "k2": key[1], "us": pdf["us"], "row_no": pdf["row_no"]})
-            return
-        watermark = state.getCurrentWatermarkMs() * 1000
-        best = state.get if state.exists else None
-        kinds, us, rows = [], [], []
-
-        def put(kind, copy):
-            kinds.append(kind), us.append(copy[0]), rows.append(copy[1])
-
-        for pdf in pdfs:
-            for copy in zip(pdf["us"].tolist(), pdf["row_no"].tolist()):
-                if best is None and watermark > 0 and copy[0] + retention_us < watermark:
-                    put("late", copy)
-                elif best is None or copy < best:
-                    if best is not None:
-                        put("drop", best)
-                    put("keep", copy)
-                    best = copy
-                else:
-                    put("drop", copy)
-        if best is not None:
-            state.update(best)
-            state.setTimeoutDuration(RECHECK_MS)
-        yield pd.DataFrame({"kind": kinds, "k1": key[0], "k2": key[1], "us": us, "row_no": rows})
-
-    return resolve
-
-
-def delivery_events(stream: DataFrame, *, keys: tuple[str, str], ts: str, row: str, delay: str = "30 days", retention: str = "90 days") -> DataFrame:
-    """The stream's events: keep (a copy became the best), drop (a copy lost), late (to be looked up)."""
-    days = {"day": 86_400, "days": 86_400, "hour": 3600, "hours": 3600, "minute": 60, "minutes": 60, "second": 1, "seconds": 1}
-    amount, unit = retention.split()
-    copies = stream.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).select(
+STATES = "k1 string, k2 string, best struct<us: long, row_no: long>"
+
+
+def copies(rows: DataFrame, keys: tuple[str, str], ts: str, row: str) -> DataFrame:
+    """(k1, k2, c, event_time): identified copies with c = (us, row_no), by which copies compare."""
+    us = ntz_micros(ts)
+    return rows.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull()).select(
         F.col(keys[0]).cast("string").alias("k1"),
         F.col(keys[1]).cast("string").alias("k2"),
-        F.coalesce(ntz_micros(ts), F.lit(NEVER)).alias("us"),
-        F.col(row).cast("long").alias("row_no"),
-        F.timestamp_micros(ntz_micros(ts)).alias("event_time"),
+        F.struct(F.coalesce(us, F.lit(NEVER)).alias("us"), F.col(row).cast("long").alias("row_no")).alias("c"),
+        # A copy without a time mustn't move the watermark; once there is one, it counts as late and is looked up.
+        F.timestamp_micros(F.coalesce(us, F.lit(0))).alias("event_time"),
     )
-    shape = T.StructType(copies.schema.fields + [T.StructField("lane", T.LongType())])
-    return (
-        copies.mapInPandas(_combine, shape)
-        .withWatermark("event_time", delay)
-        .groupBy("k1", "k2", "lane")
-        .applyInPandasWithState(_resolver(int(amount) * days[unit] * 1_000_000), EVENTS, "us long, row_no long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    )
-
-
-def look_up_late(events: DataFrame) -> DataFrame:
-    """Rows to drop of all events: those dropped in the stream, and of identifiers with late copies all but the earliest."""
-    late = events.where("kind = 'late'").select("k1", "k2").distinct()
-    dropped = events.where("kind = 'drop'").select("row_no")
-    # Of each such identifier the stream's best copy is its earliest 'keep'; older ones are dropped already.
-    rivals = events.where("kind <> 'drop'").join(late, ["k1", "k2"], "left_semi")
-    best = F.min(F.struct("us", "row_no"))
-    kept = rivals.where("kind = 'keep'").groupBy("k1", "k2").agg(best.alias("c"))
-    coming = rivals.where("kind = 'late'").select("k1", "k2", F.struct("us", "row_no").alias("c"))
-    every = kept.unionByName(coming)
-    winner = every.groupBy("k1", "k2").agg(F.min("c").alias("w"))
-    lost = every.join(winner, ["k1", "k2"]).where(F.col("c") != F.col("w")).select(F.col("c.row_no").alias("row_no"))
-    return dropped.unionByName(lost)
 
 
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
@@ -123,23 +47,42 @@ def parquet_stream(spark: SparkSession, path: str, files_per_batch: int) -> Data
     return reader.parquet(path)
 
 
+def seen_states(stream: DataFrame, *, keys: tuple[str, str], ts: str, row: str, delay: str, retention: str) -> DataFrame:
+    """The streaming aggregation: per identifier and stretch of event time the best copy so far."""
+    c = copies(stream, keys, ts, row).withWatermark("event_time", delay)
+    return c.groupBy("k1", "k2", F.window("event_time", retention)).agg(F.min("c").alias("best")).select("k1", "k2", "best")
+
+
 def repeated_deliveries(spark: SparkSession, path: str, *, keys: tuple[str, str] = ("id", "group"), ts: str = "ts", row: str = "row_no", files_per_batch: int = 64, delay: str = "30 days", retention: str = "90 days") -> DataFrame:
     """row_no of every copy to drop; the copy with the earliest ts stays, among equal ts the smallest row_no.
 
     Runs the stream over all that lies at path until it is caught up. A row without an identifier (either key
     null) is no message that can be recognised again and always stays. A null ts counts as later than any
-    other. An empty table gives an empty result; other columns are ignored.
+    other. An empty table gives an empty result; other columns are ignored. The row number is unique.
     """
     at = shared_dir(spark, "delivery")
-    stream = parquet_stream(spark, path, files_per_batch)
-    events = delivery_events(stream, keys=keys, ts=ts, row=row, delay=delay, retention=retention)
-    # A timeout by processing time asks for batches without data for ever; expiry at the next batch with data is enough.
-    no_data = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(no_data)
-    spark.conf.set(no_data, "false")
+    changed = seen_states(parquet_stream(spark, path, files_per_batch), keys=keys, ts=ts, row=row, delay=delay, retention=retention)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/states/batch={number}")
+
+    query = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    late, watermark = 0, None
     try:
-        query = events.writeStream.format("parquet").option("path", f"{at}/events").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        while not query.awaitTermination(1):
+            pass
     finally:
-        spark.conf.set(no_data, before)
-    query.awaitTermination()
-    return look_up_late(spark.read.schema(EVENTS).parquet(f"{at}/events"))
+        for p in query.recentProgress:
+            late += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            watermark = (p.eventTime or {}).get("watermark", watermark)
+    source = spark.read.parquet(path)
+    every = copies(source, keys, ts, row).drop("event_time")
+    if not spark._jvm.org.apache.hadoop.fs.Path(f"{at}/states").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/states")):
+        return every.where("false").select("c.row_no")
+    best = spark.read.schema(STATES).parquet(f"{at}/states").select("k1", "k2", F.col("best").alias("c"))
+    if late or len(query.recentProgress) >= int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")):
+        # Late arrivals: whatever is older than the last watermark may have met no state (or the counts have scrolled away).
+        old = copies(source, keys, ts, row).where(F.col("event_time") < F.to_timestamp(F.lit(watermark))) if watermark else copies(source, keys, ts, row)
+        best = best.unionByName(old.drop("event_time"))
+    kept = best.groupBy("k1", "k2").agg(F.min("c").alias("c")).select(F.col("c.row_no").alias("row_no"))
+    return every.select(F.col("c.row_no").alias("row_no")).join(kept, "row_no", "left_anti")
