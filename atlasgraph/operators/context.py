@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled_line
+from ..session import stored
 from .graph import Graph, by_label, by_type, tail
 
 COMMITS, CONCEPTS, IMPLEMENTERS, CONCEPT_COMMITS = 6, 8, 8, 4
@@ -104,7 +105,7 @@ def symbol_lines(graph: Graph, linked: DataFrame) -> DataFrame:
     fns = linked.where("label = 'Function'").select("qid", "id", "rank")
     # A qualname that several functions have gets no impact block.
     unique = by_label(graph.nodes, "Function").groupBy("qualname").agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1").select("id")
-    hit = impact(graph, fns.select("id").distinct().join(unique, "id", "left_semi"), 2, "calls").withColumnRenamed("resolved_symbol", "id")
+    hit = stored(impact(graph, fns.select("id").distinct().join(unique, "id", "left_semi"), 2, "calls"), "context-impact").withColumnRenamed("resolved_symbol", "id")
     short = lambda c: F.when(F.size(c) == 0, "（无）").otherwise(F.array_join(F.transform(c, lambda x: tail(x)), ", "))
     block = F.array(
         F.concat(F.lit("- 目标 "), tail(F.col("id")), F.lit(":")), F.concat(F.lit("    直接调用方: "), short(F.col("direct_callers"))), F.concat(F.lit("    间接调用方: "), short(F.col("transitive_callers"))),
