@@ -151,7 +151,7 @@ def has_token(text: Column, token: Column) -> Column:
 def fixes(message: Column) -> Column:
     """Array of (number, pattern) of the issues a commit message closes: of each number the last explicit keyword,
     else a plain (#n), which is a pull request."""
-    explicit = F.lit(r"(?i)\b(fix(?:e[sd])?|close[sd]?|resolve[sd]?)\b[:\s]*#(\d+)")
+    explicit = F.lit(r"(?i)\b(fix(?:es|ed)?|close[sd]?|resolve[sd]?)\s+#(\d+)")
     m = F.coalesce(message, F.lit(""))
     words, numbers = F.regexp_extract_all(m, explicit, F.lit(1)), F.regexp_extract_all(m, explicit, F.lit(2))
     strong = F.zip_with(numbers, words, lambda n, w: F.struct(n.cast("int").alias("number"), F.lower(w).alias("pattern")))
