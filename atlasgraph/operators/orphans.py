@@ -14,7 +14,7 @@ maximum of the ends of life); batches of references probe the arrays of their ra
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,14 +68,15 @@ def _range_of(n: int) -> Column:
     return (F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0)).cast("int")
 
 
-def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> np.ndarray:
+def _probe(refs: pa.Table, parents: pa.Table) -> np.ndarray:
     """Index into KINDS of each reference."""
     kind = np.full(len(refs), 1, dtype=np.int8)
     if not len(parents) or not len(refs):
         return kind
-    p = parents.sort_values(["h1", "h2", "start"], kind="stable")
-    ph, p2 = p["h1"].to_numpy(), p["h2"].to_numpy()
-    start, until = p["start"].to_numpy(), p["until"].to_numpy()
+    column = lambda t, c: t.column(c).to_numpy()
+    ph, p2, start, until = (column(parents, c) for c in ("h1", "h2", "start", "until"))
+    order = np.lexsort((start, p2, ph))
+    ph, p2, start, until = ph[order], p2[order], start[order], until[order]
     new = np.r_[True, (ph[1:] != ph[:-1]) | (p2[1:] != p2[:-1])]
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
@@ -85,9 +86,9 @@ def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> np.ndarray:
     ever = np.sort(until)[np.searchsorted(np.sort(rank), lifted)]
     # Keys sorted by (h1, h2): find h1, then step over the very rare equal h1 with another h2.
     kh, k2 = ph[first], p2[first]
-    rh, r2 = refs["h1"].to_numpy(), refs["h2"].to_numpy()
-    at_na = refs["at"].isna().to_numpy()
-    at = refs["at"].fillna(0).to_numpy(dtype=np.int64)
+    rh, r2 = column(refs, "h1"), column(refs, "h2")
+    at_na = refs.column("at").is_null().to_numpy()
+    at = refs.column("at").fill_null(0).to_numpy()
     k = np.searchsorted(kh, rh)
     while True:
         inside = k < len(kh)
@@ -140,14 +141,13 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     left = refs.join(layout, "rng").select("rng", F.pmod(F.xxhash64("record_id", "at"), F.col("lanes")).cast("int").alias("lane"), "table_name", "record_id", "field_name", "h1", "h2", "at")
     names = T.StructType.fromDDL("table_name string, record_id long, field_name string, at long, kind string")
 
-    def probe(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def probe(a: pa.Table, b: pa.Table) -> pa.Table:
         kind = _probe(a, b)
         bad = kind > 0
-        out = a.loc[bad, ["table_name", "record_id", "field_name", "at"]].copy()
-        out["kind"] = [KINDS[i] for i in kind[bad]]
-        return out
+        found = a.select(["table_name", "record_id", "field_name", "at"]).filter(pa.array(bad))
+        return found.append_column("kind", pa.array(np.array(KINDS, object)[kind[bad]], pa.string()))
 
-    return left.groupBy("rng", "lane").cogroup(right.groupBy("rng", "lane")).applyInPandas(probe, names)
+    return left.groupBy("rng", "lane").cogroup(right.groupBy("rng", "lane")).applyInArrow(probe, names)
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
