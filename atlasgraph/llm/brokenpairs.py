@@ -101,6 +101,9 @@ def copy_ratio(question: str, reply: str) -> float:
     return max(0, len(packed) - 9) / len(r)  # without the frame's own bytes
 
 
+GRAM = 6
+
+
 def copies(question: str | None, reply: str, limit: float = 0.35) -> bool:
     """The reply holds nothing but the question, whole, broken off, repeated, or with a few characters changed."""
     if not question or copy_ratio(question, reply) > limit:
@@ -111,9 +114,13 @@ def copies(question: str | None, reply: str, limit: float = 0.35) -> bool:
     whole = (q * (len(r) // len(q) + 2))[: len(r)]
     if r == whole or r in q:
         return True
-    from difflib import SequenceMatcher
-
-    said = sum(m.size for m in SequenceMatcher(None, whole if len(r) > len(q) else q, r, autojunk=False).get_matching_blocks() if m.size >= 4)
+    # A few characters changed: how much of the reply stands in pieces of GRAM characters of the question. Linear.
+    known = {(q + q)[i : i + GRAM] for i in range(2 * len(q) - GRAM + 1)}
+    said, end = 0, 0
+    for i in range(len(r) - GRAM + 1):
+        if r[i : i + GRAM] in known:
+            said += i + GRAM - max(i, end)
+            end = i + GRAM
     return said >= 0.85 * len(r)
 
 
@@ -127,7 +134,15 @@ WORDS = {
     "pt": "o a os as um uma de do da dos das e ou em no na nos nas é são era foi ser não mais que quem onde quando como se seu sua com para por sobre sem mas porque este esta isso resposta nenhuma",
 }
 _LEXICON = {lang: set(words.split()) for lang, words in WORDS.items()}
-_CODE = re.compile(r"`[^`]*`|[A-Za-z0-9_]+(?:[._:/][A-Za-z0-9_]+)+(?:\(\))?|[A-Za-z0-9]*_\w*|\b[A-Za-z]*[a-z][A-Za-z]*[A-Z][A-Za-z0-9]*|[A-Za-z0-9]*[0-9][A-Za-z0-9]*", re.A)
+_CODE = re.compile(r"`[^`]*`|[A-Za-z0-9_]+(?:[._:/][A-Za-z0-9_]+)*(?:\(\))?")
+_CODE_SIGN = re.compile(r"[`_0-9()]|[._:/]|[a-z][A-Z]")
+
+
+def _without_code(text: str) -> str:
+    """The text without code names; every character is looked at once, however long a word is."""
+    return _CODE.sub(lambda m: " " if _CODE_SIGN.search(m[0]) else m[0], text)
+
+
 _QUOTED = re.compile(r"“[^”]{0,60}”|„[^“”]{0,60}[“”]|«[^»]{0,60}»|「[^」]{0,60}」|\"[^\"]{0,60}\"|‘[^’]{0,60}’|(?<!\w)'[^']{0,60}'(?!\w)")
 _SCRIPTS = {"zh": r"\p{Han}", "ja": r"[\p{Hiragana}\p{Katakana}]", "ko": r"\p{Hangul}", "ru": r"\p{Cyrillic}", "ar": r"\p{Arabic}", "el": r"\p{Greek}", "he": r"\p{Hebrew}", "th": r"\p{Thai}", "hi": r"\p{Devanagari}"}
 _COUNTERS = {k: regex.compile(v) for k, v in _SCRIPTS.items()}
@@ -138,7 +153,7 @@ def language(text: str | None) -> str | None:
     """The language a text is mainly in, apart from code names and short quotations; None if it can't be told."""
     if not text:
         return None
-    text = _QUOTED.sub(" ", _CODE.sub(" ", text))
+    text = _QUOTED.sub(" ", _without_code(text))
     # In letters' worth: a Han character says about as much as two letters.
     weight = {k: len(c.findall(text)) * (2 if k == "zh" else 1) for k, c in _COUNTERS.items()}
     words = [w.lower() for w in _LATIN.findall(text)]

@@ -155,6 +155,13 @@ class Transducer:
         return "".join(self.to_latin.get(c, c) for c in word)
 
     def __call__(self, text: str | None) -> str | None:
+        for _ in range(4):  # letters that were respelled may compose with marks behind them
+            before, text = text, self._once(text)
+            if text == before:
+                break
+        return text
+
+    def _once(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
         if self.suspect.search(text):
@@ -165,7 +172,7 @@ class Transducer:
             genuine = [w for w in words if self._genuine(w)]
             russian = any(self._script(w[0]) == "C" for w in genuine)
             greek = any(self._script(w[0]) == "G" and len(w) > 1 for w in genuine)
-            text = self.word.sub(lambda m: self._respell(m[0], russian, greek), text)
+            text = unicodedata.normalize("NFC", self.word.sub(lambda m: self._respell(m[0], russian, greek), text))
         return text
 
 
