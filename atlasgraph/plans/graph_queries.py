@@ -439,3 +439,49 @@ def _(G, spark, d):
 
     e = _table(spark, d, "graph_edges").where("type = 'CALLS' and src is not null and dst is not null").select(g.norm_ref(F.col("src")).alias("src"), g.norm_ref(F.col("dst")).alias("dst"), "edge_no", F.posexplode("props.call_sites").alias("i", "line"))
     return merge_calls(e, ["edge_no", "i"]).select("src", "dst", F.col("count").alias("n"), F.array_join(F.col("call_sites").cast("array<string>"), ",").alias("lines"))
+
+
+# ---- sinks: written, read back, counted --------------------------------------------------------------------
+
+
+@query("k1_snapshot", "select 'nodes' as kind, label as name, count(*) as n from n group by rollup(label) union all select 'edges', type, count(*) from e group by rollup(type)")
+def _(G, spark, d):
+    from ..session import shared_dir
+    from ..sources.sinks import load_graph, save_graph
+
+    path = shared_dir(spark, "snapshot")
+    save_graph(G, path)
+    return g.counts(load_graph(spark, path))
+
+
+@query("k1_json_export", "select type, count(*) as n, sum(count)::bigint as calls from e group by type")
+def _(G, spark, d):
+    from ..session import shared_dir
+    from ..sources.sinks import export_json
+
+    path = shared_dir(spark, "export")
+    export_json(Graph(G.nodes.select("id", "label"), G.edges.select("src", "type", "dst", "count")), path)
+    rows = spark.read.schema("edge struct<src: string, type: string, dst: string, properties: struct<count: int>>").json(path).where("edge is not null")
+    return rows.groupBy("edge.type").agg(F.count("*").alias("n"), F.sum("edge.properties.count").alias("calls"))
+
+
+@query("k4_audit_log", "select verdict, count(*) as n, count(distinct left_ref) as refs from align_audit group by verdict", base=False)
+def _(G, spark, d):
+    from ..session import shared_dir
+    from ..sources.sinks import read_json_lines, write_audit
+
+    path = shared_dir(spark, "audit")
+    write_audit(_table(spark, d, "align_audit").select("id", "left_ref", "right_ref", "verdict"), path)
+    back = read_json_lines(spark, path, "id long, left_ref long, right_ref long, verdict string")
+    return back.groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("left_ref").alias("refs"))
+
+
+@query("k6_append_records", "select subset, 2 * count(*) as n from dataset group by subset", base=False)
+def _(G, spark, d):
+    from ..session import shared_dir
+    from ..sources.sinks import append_records, read_json_lines
+
+    path = shared_dir(spark, "records")
+    for _ in range(2):
+        append_records(_table(spark, d, "dataset").select("id", "subset"), path)
+    return read_json_lines(spark, path, "id string, subset string").groupBy("subset").agg(F.count("*").alias("n"))
