@@ -90,21 +90,33 @@ def first_filled_line(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) for an array-valued body, with the value worked out once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def candidates(question: Column) -> Column:
     """Names a question may mean, distinct: identifier chains, their ends, 1- to 3-grams of words joined by _ and .,
     other forms of each word; with two characters or more and not only digits."""
+    none = F.array().cast("array<string>")
     chains = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(f"({IDENT})"), F.lit(1))
-    parts = F.transform(chains, lambda c: F.split(c, r"\."))
-    ends = F.flatten(F.transform(parts, lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))).otherwise(F.array().cast("array<string>"))))
-    words = F.flatten(parts)
-    others = F.flatten(F.transform(words, other_forms))
-    words = F.concat(words, others)  # the other forms join the row of words before it is cut into grams
 
-    def joined(n: int, mark: str) -> Column:
+    def ends(chain: Column) -> Column:
+        p = F.split(chain, r"\.")
+        return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))).otherwise(none)
+
+    def joined(words: Column, n: int, mark: str) -> Column:
         last = F.size(words) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), mark))).otherwise(F.array().cast("array<string>"))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), mark))).otherwise(none)
+
+    def of_words(words: Column, others: Column) -> Column:
+        return F.concat(others, *[joined(words, n, m) for n, m in ((1, "_"), (2, "_"), (2, "."), (3, "_"), (3, "."))])
 
-    every = F.concat(chains, ends, others, joined(1, "_"), joined(2, "_"), joined(2, "."), joined(3, "_"), joined(3, "."))
+    # let() hands an array on as a lambda's variable, so what is made from it doesn't work it out again for every element.
+    # The other forms join the row of words before it is cut into grams.
+    words = F.flatten(F.transform(chains, lambda c: F.split(c, r"\.")))
+    grams_of = let(words, lambda w: let(F.flatten(F.transform(w, other_forms)), lambda o: let(F.concat(w, o), lambda every: of_words(every, o))))
+    every = F.concat(chains, F.flatten(F.transform(chains, ends)), grams_of)
     return F.array_distinct(F.filter(every, lambda c: (F.length(c) >= 2) & ~c.rlike("^[0-9]+$")))
 
 
