@@ -126,3 +126,37 @@ def symbol_lines(graph: Graph, linked: DataFrame) -> DataFrame:
     con = con.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("way", "concept"))).where(F.col("rank") <= CONCEPTS)
     out = out.unionByName(lines(con.select("qid").distinct(), 6, F.lit(0), F.array(F.lit(""), F.lit("【相关概念】（来源: 命中概念 / IMPLEMENTS / DESCRIBES）"))))
     return out.unionByName(lines(con, 7, F.col("rank"), F.array(F.concat(F.lit("- "), "name", F.lit(": "), first_filled_line(F.col("text"))))))
+
+
+def card_summary(card: dict, client=None, retries: int = 2, limit: int = 300) -> str | None:
+    """A client's summary of a card (client(card) -> text); None without a client, on failure, or where the text is too long or
+    names an identifier that the card doesn't."""
+    import json
+    import re
+
+    known = json.dumps(card, ensure_ascii=False, default=str)
+    for _ in range(retries + 1 if client else 0):
+        try:
+            text = (client(card) or "").strip()
+        except Exception:
+            continue
+        if text and len(text) <= limit and all(name in known for name in re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)):
+            return text
+    return None
+
+
+def load_or_build_card(graph: Graph, path: str) -> DataFrame:
+    """The card kept below path for this very graph, else one worked out now (degraded). The cache goes by the graph's own
+    counts, so another graph never gets it."""
+    from .graph import counts
+
+    spark = graph.nodes.sparkSession
+    mark = counts(graph).agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", F.coalesce("name", F.lit("")), F.col("n").cast("string")))), ",")).alias("m")).first()["m"]
+    try:
+        return spark.read.parquet(f"{path}/{mark}").withColumn("degraded", F.lit(False))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    card = repo_card(graph)
+    card.write.mode("overwrite").parquet(f"{path}/{mark}")
+    return spark.read.parquet(f"{path}/{mark}").withColumn("degraded", F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import half_width, has_code_token, tech_terms
+from ..session import stored
 
 # Words of the rules.
 _KNOW = "(?:知道|了解|理解|认识|熟悉|清楚|晓得|明白|懂得|读得?懂|看得?懂|懂)"
@@ -97,17 +98,46 @@ def node_text(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.lower(F.concat_ws("\x01", *[F.col(c) for c in have], *lists, *quotes)).alias("low"))
 
 
+#: Terms that one automaton holds; a larger vocabulary is looked for in several passes.
+TERMS_PER_PASS = 200_000
+
+
 def terms_present(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, present): whether any node's text contains the term, whatever its case.
+    """(term, present): whether any node's text contains the term, whatever its case. Empty terms are never present.
 
-    terms is a vocabulary (distinct terms of a batch of questions); it is joined to every text by containment, so
-    it is de-duplicated first and each text is looked through in one pass.
+    The vocabulary (distinct terms of a batch of questions) goes in blocks of bounded size; a block is an automaton that
+    finds all its terms in one pass over a text, however many there are, and each batch tells only distinct finds.
     """
-    words = terms.select(F.lower("term").alias("t")).where("t <> ''").distinct()
-    hit = texts.join(words, F.contains(F.col("low"), F.col("t"))).select("t").distinct().withColumn("present", F.lit(True))
+    words = stored(terms.select(F.lower("term").alias("t")).where("t <> ''").distinct(), "vocabulary")
+    blocks = -(-words.count() // TERMS_PER_PASS)
+    hit = words.where("false")
+    for b in range(blocks):
+        block = [r["t"] for r in words.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()]  # about TERMS_PER_PASS
+        if not block:
+            continue
+        hit = hit.unionByName(texts.select("low").where("low is not null").mapInPandas(_finder(block), "t string"))
+    hit = hit.distinct().withColumn("present", F.lit(True))
     return terms.select("term").distinct().join(hit, F.lower("term") == F.col("t"), "left").select("term", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+def _finder(block: list[str]):
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+
+        automaton = ahocorasick.Automaton()
+        for t in block:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        left = set(block)
+        for pdf in batches:
+            found = {t for low in pdf["low"] for _, t in automaton.iter(low)} & left
+            left -= found  # a task tells each term once
+            yield pd.DataFrame({"t": sorted(found)}, dtype="object")
+
+    return run
+
+
 def verify_premises(texts: DataFrame, premises: DataFrame, key: str = "id") -> DataFrame:
     """(key, claim, status, reason, source, terms) of the premises none of whose terms occurs anywhere in the graph."""
     vocabulary = premises.select(F.explode("terms").alias("term")).distinct()

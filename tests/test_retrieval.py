@@ -114,3 +114,22 @@ def test_evaluation(spark):
     good = evaluation.last_good(j, ["id", "group"], ["n"])
     assert rows(good, "id", "n") == [("1", 2), ("3", 1)]
     assert rows(evaluation.rates(good, ["group"]), "group", "n", "correct") == [("A", 1, 1.0), ("B", 1, 0.0)]
+
+
+def test_terms_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(routing, "TERMS_PER_PASS", 2)
+    texts = routing.node_text(spark.createDataFrame([("a", "uses SQLite here"), ("b", None), ("c", "")], "id string, text string"))
+    t = spark.createDataFrame([("sqlite",), ("SQL",), ("here",), ("redis",), ("",), (None,), ("lite h",)], "term string")
+    assert dict(rows(routing.terms_present(texts, t))) == {"sqlite": True, "SQL": True, "here": True, "redis": False, "": False, None: False, "lite h": True}
+
+
+def test_card_cache_and_summary(spark, small, tmp_path):
+    from atlasgraph.operators.context import card_summary, load_or_build_card
+    from atlasgraph.operators.graph import Graph, test_graph
+
+    G = test_graph(spark, small)
+    first, second = load_or_build_card(G, str(tmp_path)).first(), load_or_build_card(G, str(tmp_path)).first()
+    assert first["degraded"] and not second["degraded"] and first["n_function"] == second["n_function"] > 0
+    assert load_or_build_card(Graph(G.nodes.limit(3), G.edges), str(tmp_path)).first()["degraded"]
+    assert card_summary({"a": "emit_span"}) is None and card_summary({"a": "emit_span"}, lambda c: "emit_span 很好") == "emit_span 很好"
+    assert card_summary({"a": 1}, lambda c: "invented_name") is None and card_summary({}, lambda c: 1 / 0) is None
