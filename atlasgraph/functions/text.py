@@ -184,6 +184,3 @@ def endpoint(decorators: Column, arguments: Column, patterns: tuple[str, ...]) -
     hit = F.get(F.filter(F.arrays_zip(decorators.alias("d"), arguments.alias("a")), lambda x: x["d"].rlike(rule)), F.lit(0))
     return F.when(hit.isNotNull(), F.struct(F.upper(F.element_at(F.split(hit["d"], r"\."), -1)).alias("http_method"), hit["a"].alias("route_path")))
 
-
-def round_up(c: Column, digits: int = 4) -> Column:
-    return F.round(c, digits)

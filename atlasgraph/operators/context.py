@@ -15,10 +15,6 @@ BUDGET = 6000
 NOTICE = "…（上下文因预算截断，仅保留高优先级内容）"
 
 
-def display_name(nodes: DataFrame) -> Column:
-    return F.coalesce("qualname", "name", tail(F.col("id")))
-
-
 def latest_commits(graph: Graph, ids: DataFrame, n: int = COMMITS) -> DataFrame:
     """(id, commit, authored_at, rank): the n latest commits that modify each id, by the time's text and then the id."""
     k = by_label(graph.nodes, "Commit").select(F.col("id").alias("commit"), "authored_at")
@@ -63,7 +59,7 @@ def overview_rows(graph: Graph) -> DataFrame:
 def repo_card(graph: Graph) -> DataFrame:
     """One row: the counts by label, the overview's lists as arrays of structs, and the entry points (endpoints)."""
     stats = graph.nodes.groupBy().agg(*[F.count(F.when(F.col("label") == x, 1)).alias(f"n_{x.lower()}") for x in ("Module", "Class", "Function", "Commit", "Issue", "Concept")])
-    rows = overview_rows(graph).withColumn("name", F.col("name"))
+    rows = overview_rows(graph)
     lists = rows.groupBy().agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("n")).alias("k"), F.col("name"))))), lambda x: F.struct(x["name"].alias("name"), (-x["k"]).alias("n"))).alias(s) for s in ("modules", "hot", "concepts")])
     ends = by_label(graph.nodes, "Function").where("is_endpoint").orderBy("id").limit(20).groupBy().agg(F.sort_array(F.collect_list("id")).alias("entrypoints"))
     return stats.crossJoin(lists).crossJoin(ends)  # one row each

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.orphans import find_orphans, orphan_report, parents_table, refs_table
 from ..session import table

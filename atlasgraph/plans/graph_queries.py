@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import graph as g
 from ..operators import impact as im
 from ..operators import metrics as me
@@ -94,19 +93,6 @@ def _(G, spark, d):
     return g.counts(Graph(g.valid_labels(G.nodes), G.edges))
 
 
-@query("p1_build_first_line")
-def _(G, spark, d):
-    return G.nodes.where("text is not null").select("id", tx.first_line_or_null(F.col("text")).alias("line"))
-
-
-@query("p2_context_first_line")
-def _(G, spark, d):
-    return G.nodes.select("id", tx.first_filled_line(F.col("text")).alias("line"))
-
-
-del QUERIES["p1_build_first_line"], QUERIES["p2_context_first_line"]  # the names with p belong to the data problems
-
-
 @query("t4_reverse_adjacency", "select distinct node, pred from calls")
 def _(G, spark, d):
     return g.reverse(G.edges, "CALLS")
@@ -175,7 +161,7 @@ _SYMBOLS = "(select distinct split_part(qualname, '.', -1) as symbol from fn uni
 
 
 @query(
-    "p6x_resolve_symbols",
+    "resolve_symbols",
     f""", w as {_SYMBOLS}, hits as (select w.symbol, list(distinct fn.id order by fn.id) filter (fn.qualname = w.symbol) as e, list(distinct fn.id order by fn.id) filter (ends_with(fn.qualname, '.' || w.symbol)) as s
   from w left join fn on fn.qualname = w.symbol or ends_with(fn.qualname, '.' || w.symbol) group by w.symbol),
 best as (select symbol, case when len(e) > 0 then e else coalesce(s, []) end as c from hits)
@@ -187,10 +173,6 @@ def _(G, spark, d):
     return _joined(im.resolve_symbols(G.nodes, wanted))
 
 
-QUERIES["resolve_symbols"] = QUERIES.pop("p6x_resolve_symbols")
-ORACLE["resolve_symbols"] = ORACLE.pop("p6x_resolve_symbols")
-
-
 @query("j10_module_of", "select id, module from home")
 def _(G, spark, d):
     return im.modules_of(G)
@@ -249,13 +231,11 @@ def _(G, spark, d):
     return me.change_heat(G)
 
 
-@query("p13x", "select max(created_at) - interval 90 day as since from n where label = 'Commit'")
+@query("window_start", "select max(created_at) - interval 90 day as since from n where label = 'Commit'")
 def _(G, spark, d):
     return me.window_start(G.nodes)
 
 
-QUERIES["window_start"] = QUERIES.pop("p13x")
-ORACLE["window_start"] = ORACLE.pop("p13x")
 _FIX = "select fn.id, count(e.src) as fix_involvement from fn left join e on e.dst = fn.id and e.type = 'MODIFIES' and e.src in (select src from e where type = 'FIXES') group by fn.id"
 
 
@@ -276,7 +256,7 @@ def _(G, spark, d):
 
 @query(
     "a14_all_metrics",
-    _HEAT.replace("select", "select", 1) + ", fi as (select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id), fx as (" + _FIX + ") select fi.id, fan_in, commits_all, commits_90d, churn_90d, heat, fix_involvement from fi join heat using (id) join fx using (id)",
+    _HEAT + ", fi as (select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id), fx as (" + _FIX + ") select fi.id, fan_in, commits_all, commits_90d, churn_90d, heat, fix_involvement from fi join heat using (id) join fx using (id)",
 )
 def _(G, spark, d):
     return me.all_metrics(G, rounds=4).select("id", "fan_in", "commits_all", "commits_90d", "churn_90d", "heat", "fix_involvement")
@@ -420,7 +400,7 @@ def _(G, spark, d):
     return by_type(G.edges, "MODIFIES").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(15)
 
 
-@query("p10x", """, w(term) as (values ('redis'), ('span'), ('orchard'), ('emit_'), ('нет'), ('工单'))
+@query("term_in_graph", """, w(term) as (values ('redis'), ('span'), ('orchard'), ('emit_'), ('нет'), ('工单'))
 select term, exists (select 1 from n where contains(lower(coalesce(qualname, '') || chr(1) || coalesce(name, '') || chr(1) || coalesce(path, '') || chr(1) || coalesce(text, '')), term)) as present from w""")
 def _(G, spark, d):
     from ..operators.routing import node_text, terms_present
@@ -429,11 +409,12 @@ def _(G, spark, d):
     return terms_present(node_text(G.nodes), terms)
 
 
-QUERIES["term_in_graph"] = QUERIES.pop("p10x")
-ORACLE["term_in_graph"] = ORACLE.pop("p10x")
+_CALL_LINES = f"""with c as (select {_NORM.format("src")} as s, {_NORM.format("dst")} as t, edge_no, props.call_sites as lines from graph_edges where type = 'CALLS' and src is not null and dst is not null),
+l as (select s, t, edge_no, unnest(lines) as line, generate_subscripts(lines, 1) as i from c)
+select s as src, t as dst, count(*) as n, string_agg(line::varchar, ',' order by edge_no, i) as lines from l group by s, t"""
 
 
-@query("a2_calls_merged", "select {0} as src, {1} as dst, count(*) as n, string_agg(cs::varchar, ',' order by edge_no, i) as lines from (select {0}, {1}, edge_no, unnest(props.call_sites) as cs, generate_subscripts(props.call_sites, 1) as i, src, dst from graph_edges where type = 'CALLS' and src is not null and dst is not null) group by 1, 2".format(_NORM.format("src"), _NORM.format("dst")).replace("(select " + _NORM.format("src") + ", " + _NORM.format("dst") + ", edge_no", "(select edge_no"), base=False)
+@query("a2_calls_merged", _CALL_LINES, base=False)
 def _(G, spark, d):
     from ..operators.callgraph import merge_calls
 
