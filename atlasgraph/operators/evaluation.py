@@ -109,3 +109,54 @@ def bare_refusal(context: Column, suggestions: Column) -> Column:
 def number_in(text: Column, number: Column) -> Column:
     """Whether the number stands in the text with no digit beside it."""
     return F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(r"(?<!\d)"), number.cast("string"), F.lit(r"(?!\d)")))
+
+
+# Words by which an answer contradicts a premise.
+CONTRADICTIONS = ("没有", "未使用", "不是", "并非", "实际上", "无", "而非")
+
+
+def mode_class(mode: Column) -> Column:
+    """overview, symbol or topic for the modes that belong to them; any other mode as it is."""
+    return F.when(mode.isin("meta", "overview", "global"), "overview").when(mode.isin("symbol", "entity_local"), "symbol").when(mode.isin("topic", "llm"), "topic").otherwise(mode)
+
+
+def _said(answer: Column, context: Column) -> Column:
+    return F.concat_ws("\n", F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit("")))
+
+
+def judge_overview(route_label: Column, mode: Column, answer: Column, context: Column, facts: list[str], numbers: list[str], least: int = 3) -> Column:
+    """(passed, mode_ok, facts_hit): an overview mode and at least `least` of the facts and whole numbers said."""
+    text = _said(answer, context)
+    hits = [F.contains(text, F.lit(f)).cast("int") for f in facts] + [number_in(text, F.lit(n)).cast("int") for n in numbers]
+    total = sum(hits, F.lit(0))
+    ok = F.coalesce(route_label.isin("meta", "global"), F.lit(False)) | (F.coalesce(mode_class(mode), F.lit("")) == "overview")
+    return F.struct((ok & (total >= least)).alias("passed"), ok.alias("mode_ok"), total.alias("facts_hit"))
+
+
+def judge_linked(anchors: Column, gold: Column) -> Column:
+    """(hit_1, hit_3, anchors_top3): whether the gold ids (with their equivalents) are among the first anchors."""
+    top = F.slice(F.coalesce(anchors, F.array().cast("array<string>")), 1, 3)
+    return F.struct(F.coalesce(F.arrays_overlap(F.slice(top, 1, 1), gold), F.lit(False)).alias("hit_1"), F.coalesce(F.arrays_overlap(top, gold), F.lit(False)).alias("hit_3"), top.alias("anchors_top3"))
+
+
+def judge_ambiguous(gold_behavior: Column, needs_disambiguation: Column, anchors: Column, mode: Column) -> Column:
+    """(passed, predicted, over_ask, under_ask, anchored): asking back and picking against what was wanted; a pick counts
+    only if it is anchored at a symbol. A missing field means a pick."""
+    asks = F.coalesce(needs_disambiguation, F.lit(False))
+    anchored = (F.coalesce(F.size(anchors), F.lit(0)) > 0) & (F.coalesce(mode_class(mode), F.lit("")) == "symbol")
+    should = F.coalesce(gold_behavior, F.lit("")) == "should_disambiguate"
+    return F.struct(
+        F.when(should, asks).otherwise(~asks & anchored).alias("passed"), F.when(asks, "should_disambiguate").otherwise("should_autopick").alias("predicted"),
+        (~should & asks).alias("over_ask"), (should & ~asks).alias("under_ask"), anchored.alias("anchored"),
+    )
+
+
+def judge_premise(answer: Column, context: Column, absent: Column, truths: Column) -> Column:
+    """(leak, corrected): whether an absent keyword is said; whether a contradiction and a truth are (no truths: a
+    contradiction is enough)."""
+    text = _said(answer, context)
+    low = F.lower(text)
+    none = F.array().cast("array<string>")
+    says = lambda words: F.coalesce(F.exists(F.coalesce(words, none), lambda w: F.contains(low, F.lower(w))), F.lit(False))
+    contradicts = text.rlike("|".join(CONTRADICTIONS))
+    return F.struct(says(absent).alias("leak"), (contradicts & (says(truths) | (F.size(F.coalesce(truths, none)) == 0))).alias("corrected"))

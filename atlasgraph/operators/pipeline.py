@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled_line, half_width
@@ -38,20 +38,45 @@ def overview_text(graph: Graph) -> DataFrame:
     return rows.groupBy().agg(F.concat(F.lit("【仓库概览】（来源: 图谱统计）\n"), F.array_join(line, "\n")).alias("overview"))
 
 
-def build_context(graph: Graph, documents: DataFrame, questions: DataFrame, budget: int = BUDGET, allow_overview: bool = True) -> DataFrame:
+EXTRA_QUERIES = 4
+
+
+def _with_extra(graph: Graph, index: bm25.Index, extra: DataFrame, alone: DataFrame, linked: DataFrame, recall: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and topics joined by those of a question's first rewritings (qid, seq, question), for questions without a link: per
+    id the highest score, then the best again."""
+    first = Window.partitionBy("qid").orderBy("seq")
+    e = extra.join(alone.select("qid"), "qid", "left_semi").where("trim(coalesce(question, '')) <> ''").withColumn("r", F.row_number().over(first)).where(F.col("r") <= EXTRA_QUERIES)
+    e = e.select(F.concat_ws("\x01", "qid", F.col("r").cast("string")).alias("qid"), half_width(F.col("question")).alias("question"))
+    back = F.substring_index("qid", "\x01", 1)
+
+    def best(df: DataFrame, k: int, rest: list[str]) -> DataFrame:
+        per = df.groupBy("qid", "id").agg(F.max_by(F.struct(*rest), "score").alias("x"), F.max("score").alias("score")).select("qid", "id", "score", "x.*")
+        return per.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+    more = linking.link_entities(graph.nodes, e).withColumn("qid", back)
+    links = linked.unionByName(best(more, linking.TOP, ["label", "name", "matched", "method"]).select(linked.columns))
+    topics = best(recall.unionByName(bm25.topic_recall(index, e).withColumn("qid", back)), bm25.TOP, ["matched_terms"]).select(recall.columns)
+    return links, topics.join(links.select("qid"), "qid", "left_anti")
+
+
+def build_context(graph: Graph, documents: DataFrame, questions: DataFrame, budget: int = BUDGET, allow_overview: bool = True, extra: DataFrame | None = None) -> DataFrame:
     """A row per question (qid, question): route_label, route_source, mode, linked ids, topics, context_text, degraded,
     needs_disambiguation, pick, candidates, premise_flags, suggestions, resolved_query.
 
     Linked questions take the symbol branch, or ask back if their candidates are too close; unlinked ones the topic
-    branch, then the overview. Topics are recalled only for questions without a link. Every question gets a row.
+    branch, then the overview. Topics are recalled only for questions without a link. extra (qid, seq, question) holds
+    rewritings that questions without a link may use, at most four each. Every question gets a row.
     """
     # Each stage feeds several branches, so it is written once instead of being worked out in every one.
     graph = Graph(stored(graph.nodes, "context-nodes"), stored(graph.edges, "context-edges"))
     q = stored(questions.select("qid", half_width(F.col("question")).alias("question")), "context-questions")
     linked = stored(linking.link_entities(graph.nodes, q), "context-linked")
+    alone = q.join(linked.select("qid"), "qid", "left_anti")
+    index = bm25.build_index(documents)
+    recall = stored(bm25.topic_recall(index, alone), "context-recall")
+    if extra is not None:
+        linked, recall = (stored(x, "context-extra") for x in _with_extra(graph, index, extra, alone, linked, recall))
     n_linked = linked.groupBy("qid").agg(F.count("*").alias("linked"), F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("l"))
-    alone = q.join(n_linked.select("qid"), "qid", "left_anti")
-    recall = stored(bm25.topic_recall(bm25.build_index(documents), alone), "context-recall")
     n_topic = recall.groupBy("qid").agg(F.count("*").alias("topic_hits"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     signals = routing.with_signals(q.join(n_linked, "qid", "left").join(n_topic, "qid", "left").select("qid", "question", zero("linked"), zero("topic_hits"), "l"))

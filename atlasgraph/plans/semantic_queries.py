@@ -203,3 +203,30 @@ def _(spark, d):
 @query("mode_classes", "select coalesce(gold_mode_class, subset) as mode, count(distinct id) as n from dataset group by 1")
 def _(spark, d):
     return _table(spark, d, "dataset").groupBy(F.coalesce("gold_mode_class", "subset").alias("mode")).agg(F.count_distinct("id").alias("n"))
+
+
+_PREMISE = """with d as (select id, any_value(absent_keywords) as absent, any_value(truth_anchors) as truths from dataset where subset = 'PP' group by id),
+j as (select j.row_no, coalesce(j.answer, '') as text, lower(coalesce(j.answer, '')) as low, coalesce(d.absent, []) as absent, coalesce(d.truths, []) as truths from judge_pp_b j join d on d.id = j.id)
+select row_no, len(list_filter(absent, lambda w: contains(low, lower(w)))) > 0 as leak,
+  regexp_matches(text, '没有|未使用|不是|并非|实际上|无|而非') and (len(truths) = 0 or len(list_filter(truths, lambda w: contains(low, lower(w)))) > 0) as corrected from j"""
+
+
+@query("f22_judge_premise", _PREMISE)
+def _(spark, d):
+    known = _table(spark, d, "dataset").where("subset = 'PP'").groupBy("id").agg(F.first("absent_keywords").alias("absent"), F.first("truth_anchors").alias("truths"))
+    j = _table(spark, d, "judge_pp_b").join(known, "id")
+    return j.select("row_no", evaluation.judge_premise(F.col("answer"), F.lit(None).cast("string"), F.col("absent"), F.col("truths")).alias("x")).select("row_no", "x.leak", "x.corrected")
+
+
+@query("f22_judge_linked", BASE + """, q as (select id, any_value(gold_entity) as gold, any_value(question) as question from dataset where gold_entity is not null group by id),
+eq as (select q.id, q.gold as x from q union select q.id, e.dst from q join e on e.src = q.gold and e.type in ('IMPLEMENTS', 'DESCRIBES') union select q.id, e.src from q join e on e.dst = q.gold and e.type in ('IMPLEMENTS', 'DESCRIBES')),
+t as (select q.id, list_sort(list(distinct e.dst))[1:3] as top from q join e on e.src = q.gold group by q.id)
+select q.id, coalesce((select bool_or(eq.x = t.top[1]) from eq where eq.id = q.id), false) as hit_1, coalesce((select bool_or(list_contains(t.top, eq.x)) from eq where eq.id = q.id), false) as hit_3 from q left join t on t.id = q.id""")
+def _(spark, d):
+    # The anchors judged here are the gold entity's first three targets, which need no retrieval.
+    G = test_graph(spark, d)
+    q = _table(spark, d, "dataset").where("gold_entity is not null").groupBy("id").agg(F.first("gold_entity").alias("gold"))
+    eq = evaluation.gold_equivalents(G.edges, q.select("gold").distinct())
+    top = q.join(G.edges.select(F.col("src").alias("gold"), "dst"), "gold").groupBy("id").agg(F.sort_array(F.collect_set("dst")).alias("anchors"))
+    out = q.join(eq, "gold").join(top, "id", "left")
+    return out.select("id", evaluation.judge_linked(F.col("anchors"), F.col("ids")).alias("x")).select("id", "x.hit_1", "x.hit_3")

@@ -133,3 +133,35 @@ def test_card_cache_and_summary(spark, small, tmp_path):
     assert load_or_build_card(Graph(G.nodes.limit(3), G.edges), str(tmp_path)).first()["degraded"]
     assert card_summary({"a": "emit_span"}) is None and card_summary({"a": "emit_span"}, lambda c: "emit_span 很好") == "emit_span 很好"
     assert card_summary({"a": 1}, lambda c: "invented_name") is None and card_summary({}, lambda c: 1 / 0) is None
+
+
+def test_context_branches_and_extra_queries(spark):
+    from atlasgraph.operators.graph import Graph
+    from atlasgraph.operators.pipeline import build_context
+
+    nodes = spark.createDataFrame(
+        [("r::a.py::run_all", "Function", "run_all", "a.py", None, None, "Runs the beacon ledger.", None, None, True), ("r::b.py::go", "Function", "A.go", "b.py", None, None, None, None, None, False), ("r::b.py::go2", "Function", "B.go", "b.py", None, None, None, None, None, False), ("concept::x", "Concept", None, None, "shard roster", None, "shard roster balance", None, None, None), ("r::a.py", "Module", None, "a.py", "a", None, None, None, 10, None)],
+        "id string, label string, qualname string, path string, name string, hash string, text string, authored_at string, loc int, is_endpoint boolean",
+    )
+    edges = spark.createDataFrame([("r::b.py::go", "CALLS", "r::a.py::run_all"), ("r::a.py::run_all", "IMPLEMENTS", "concept::x")], "src string, type string, dst string")
+    q = spark.createDataFrame([("sym", "what is run_all"), ("ask", "go"), ("topic", "shard roster balance"), ("meta", "了解这个项目"), ("out", "什么是天气"), ("none", "zzz"), ("null", None), ("again", "qqq")], "qid string, question string")
+    extra = spark.createDataFrame([("again", 1, " "), ("again", 2, "run_all"), ("sym", 1, "A.go")], "qid string, seq int, question string")
+    docs = nodes.where("text is not null").select("id", "text").unionByName(spark.createDataFrame([(f"d{i}", f"other words {i} here") for i in range(9)], "id string, text string"))
+    got = {r["qid"]: r for r in build_context(Graph(nodes, edges), docs, q, extra=extra).collect()}
+    assert len(got) == 8 and (got["sym"]["mode"], got["ask"]["needs_disambiguation"], got["topic"]["mode"], got["meta"]["route_label"], got["out"]["mode"]) == ("symbol", True, "topic", "meta", "out_of_scope")
+    assert got["none"]["degraded"] and got["none"]["suggestions"] and got["none"]["mode"] == "overview" and got["null"]["context_text"]
+    assert got["again"]["linked"] == ["r::a.py::run_all"] and got["again"]["mode"] == "symbol" and got["sym"]["linked"] == ["r::a.py::run_all"]
+    assert "A.go" in got["sym"]["context_text"] or "go" in got["sym"]["context_text"]
+    assert all(r["context_text"].strip() for r in got.values())
+    assert build_context(Graph(nodes, edges), docs, q.where("qid = 'none'"), allow_overview=False).first()["mode"] == "none"
+
+
+def test_row_judges(spark):
+    df = spark.createDataFrame([("meta", "overview", "3 modules, 30 rows", ["a", "b"], ["b"], "should_autopick", False, "symbol", ["Redis"], ["SQLite"], "没有用 sqlite"), (None, None, None, None, ["b"], "should_disambiguate", None, None, None, None, None)], "route string, mode string, text string, anchors array<string>, gold array<string>, want string, asks boolean, m2 string, absent array<string>, truths array<string>, answer string")
+    c = F.col
+    out = df.select(evaluation.judge_overview(c("route"), c("mode"), c("text"), F.lit(None).cast("string"), ["modules", "rows"], ["3", "0"], 3).alias("o"), evaluation.judge_linked(c("anchors"), c("gold")).alias("l"), evaluation.judge_ambiguous(c("want"), c("asks"), c("anchors"), c("m2")).alias("a"), evaluation.judge_premise(c("answer"), F.lit(None).cast("string"), c("absent"), c("truths")).alias("p")).collect()
+    a, b = out
+    assert a["o"]["passed"] and a["o"]["facts_hit"] == 3 and not b["o"]["passed"]
+    assert (a["l"]["hit_1"], a["l"]["hit_3"], b["l"]["hit_3"]) == (False, True, False)
+    assert a["a"]["passed"] and b["a"]["under_ask"] and not b["a"]["passed"]
+    assert a["p"]["corrected"] and not a["p"]["leak"] and not b["p"]["corrected"]
