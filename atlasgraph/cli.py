@@ -8,7 +8,7 @@ import sys
 
 from .config import Settings
 from .operators.graph import Graph, upsert
-from .session import get_session, stored
+from .session import cleanup, get_session, stored
 from .sources.sinks import load_graph, patch_stats, render_html, save_graph, statistics, write_stats
 
 
@@ -101,4 +101,6 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    code = main()
+    cleanup(get_session())  # what other callers of main() still hold is theirs to clean up
+    sys.exit(code)

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders this process asked for.
+_WRITTEN: list[str] = []
+
+
 def get_session(app: str = "atlasgraph", **conf: str) -> SparkSession:
     """A session with the settings the engine expects; keeps whatever the caller's session already has."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
@@ -33,7 +37,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "atlasgraph-shared")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder; call it when no result is needed any more. Returns how many
+    folders were there."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
