@@ -52,12 +52,6 @@ def cleanup(spark: SparkSession) -> int:
     return gone
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable, keeping a folder that is already set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
-
-
 def stored(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -69,11 +63,6 @@ def stored(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Shuffle width: the configured number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def ntz_micros(c: Column | str) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session's time zone (null stays null)."""
     c = F.col(c) if isinstance(c, str) else c
