@@ -70,12 +70,18 @@ def score(index: Index, terms: DataFrame, key: str = "qid") -> DataFrame:
     return hit.groupBy(key, "id").agg(F.sum("weight").alias("score"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
 
 
+def ranking(index: Index, questions: DataFrame, k: int = TOP, min_score: float = MIN_SCORE, key: str = "qid") -> DataFrame:
+    """(key, rank, id, score, matched_terms): of each question the k best documents that reach min_score, by score and then
+    id; scores as they are."""
+    s = score(index, query_terms(questions, key), key).where(F.col("score") >= min_score)
+    w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "id", "score", "matched_terms")
+
+
 def topic_recall(index: Index, questions: DataFrame, k: int = TOP, min_score: float = MIN_SCORE, key: str = "qid") -> DataFrame:
     """(key, rank, id, score, matched_terms): of each question the k best documents that reach min_score before
     rounding, by score and then id; scores to 4 places."""
-    s = score(index, query_terms(questions, key), key).where(F.col("score") >= min_score)
-    w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "id", F.round("score", 4).alias("score"), "matched_terms")
+    return ranking(index, questions, k, min_score, key).withColumn("score", F.round("score", 4))
 
 
 def bm25_context(index: Index, questions: DataFrame, documents: DataFrame, key: str = "qid") -> DataFrame:

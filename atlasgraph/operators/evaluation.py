@@ -81,18 +81,31 @@ def rate_delta(r: DataFrame, group: str = "group", a: str = "A", b: str = "B") -
     return side(a, "a").join(side(b, "b"), keys).select(*keys, F.round(F.col("b") - F.col("a"), 4).alias("delta"))
 
 
-def calibration_grid(scored: DataFrame, grid: DataFrame) -> DataFrame:
-    """Per cell of the grid (min_score, margin): hit@1, hit@3 and over-ask.
+OVER_ASK_CAP = 0.2
 
-    scored has qid, rank, score, gap (score minus the next one's) and gold (whether the hit is gold). grid holds a
-    fixed number of parameter rows, so each question's three best rows meet it at a fixed cost.
+
+def calibration_grid(questions: DataFrame, scored: DataFrame, grid: DataFrame) -> DataFrame:
+    """Per cell of the grid (min_score, margin, autopick) over all questions: hit@1, hit@3, over-ask, whether the cell is
+    feasible (over-ask at most 0.2), whether it is the best one (feasible, with hits) and the best whether feasible or not.
+
+    questions has qid, scored qid, rank, score (not rounded) and gold (whether the hit is gold). A question's candidates are
+    its hits that reach min_score; it is asked back if the first two lie closer than margin, as a share of the first score. A
+    single candidate is an anchor only with autopick. grid holds a fixed number of parameter rows and nothing beyond a
+    question's three best rows counts, so each question meets it at a fixed cost.
     """
-    top = scored.where("rank <= 3")
-    cells = top.join(F.broadcast(grid), F.col("score") >= F.col("min_score"), "inner")
-    per = cells.groupBy("min_score", "margin", "qid").agg(F.max((F.col("gold") & (F.col("rank") == 1)).cast("int")).alias("h1"), F.max(F.col("gold").cast("int")).alias("h3"), F.max(((F.col("rank") == 1) & (F.col("gap") < F.col("margin")) & F.col("gold")).cast("int")).alias("over"))
-    n = scored.agg(F.count_distinct("qid").alias("n"))
-    out = per.groupBy("min_score", "margin").agg(F.sum("h1").alias("h1"), F.sum("h3").alias("h3"), F.sum("over").alias("over")).crossJoin(n)
-    return out.select("min_score", "margin", *[F.round(F.col(c) / F.col("n"), 4).alias(a) for c, a in (("h1", "hit_1"), ("h3", "hit_3"), ("over", "over_ask"))])
+    top = scored.where("rank <= 3").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "gold"))).alias("top"))
+    every = questions.select("qid").distinct().join(top, "qid", "left").crossJoin(F.broadcast(grid))
+    cells = every.withColumn("c", F.filter("top", lambda x: x["score"] >= F.col("min_score")))
+    n = F.coalesce(F.array_size("c"), F.lit(0))
+    s1, s2 = (F.round(F.get("c", F.lit(i))["score"], 4) for i in (0, 1))
+    over = F.coalesce(F.when((n >= 2) & (s1 > 0), (s1 - s2) / s1 < F.col("margin")), F.lit(False))
+    hit = lambda k: F.coalesce((F.col("autopick") | (n > 1)) & F.exists(F.slice("c", 1, k), lambda x: x["gold"]), F.lit(False))
+    share = lambda c, name: F.round(F.avg(c.cast("int")), 4).alias(name)
+    out = cells.groupBy("min_score", "margin", "autopick").agg(F.count("*").alias("n"), share(hit(1), "hit_1"), share(hit(3), "hit_3"), share(over, "over_ask"))
+    out = out.withColumn("feasible", F.col("over_ask") <= OVER_ASK_CAP).withColumn("_ok", F.col("feasible") & (F.col("hit_1") > 0))
+    order = [F.desc("hit_1"), F.desc("hit_3"), F.desc("min_score"), F.desc("margin"), F.col("autopick")]
+    first = lambda *by: F.row_number().over(Window.orderBy(*by, *order)) == 1  # noqa: E731  # as many rows as the grid has
+    return out.withColumn("best", F.col("_ok") & first(F.desc("_ok"))).withColumn("least_bad", first()).drop("_ok")
 
 
 def failure_attribution(questions: DataFrame, ranked: DataFrame, gold: DataFrame) -> DataFrame:

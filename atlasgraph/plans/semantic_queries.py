@@ -162,7 +162,7 @@ fr as (select *, row_number() over (partition by qid order by round(score, 9) de
 def _ranked(spark, d):
     index = bm25.build_index(_docs(spark, d))
     q = search_queries(spark, d)
-    ranked = bm25.topic_recall(index, q, 1_000_000_000, 0.0)  # the whole ranking
+    ranked = bm25.ranking(index, q, 1_000_000_000, 0.0)  # the whole ranking
     target = _table(spark, d, "dataset").where("target_semantic is not null").select(F.col("id").alias("qid"), F.lower("target_semantic").alias("t")).distinct().join(q.select("qid"), "qid")
     # A question's target phrase is looked up by its words' postings, then checked as a phrase.
     words = target.select("qid", "t", F.explode(F.split("t", " ")).alias("term"))
@@ -181,12 +181,9 @@ def _(spark, d):
 @query("a18_calibration_grid")
 def _(spark, d):
     q, ranked, gold = _ranked(spark, d)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("qid").orderBy("rank")
-    scored = ranked.withColumn("gap", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).join(gold.withColumn("g", F.lit(True)), ["qid", "id"], "left").select("qid", "rank", "score", "gap", F.coalesce("g", F.lit(False)).alias("gold"))
-    grid = spark.createDataFrame([(s, m) for s in (1.0, 2.0, 4.0, 8.0) for m in (0.0, 0.5, 1.0, 2.0)], "min_score double, margin double")
-    return evaluation.calibration_grid(scored, grid)
+    scored = ranked.join(gold.withColumn("g", F.lit(True)), ["qid", "id"], "left").select("qid", "rank", "score", F.coalesce("g", F.lit(False)).alias("gold"))
+    grid = spark.createDataFrame([(s, m, a) for s in (1.0, 2.0, 4.0, 8.0) for m in (0.1, 0.15, 0.2, 0.25) for a in (True, False)], "min_score double, margin double, autopick boolean")
+    return evaluation.calibration_grid(q, scored, grid)
 
 
 @query("f22_number_in_answer", "select row_no, regexp_matches(coalesce(answer, ''), '(^|[^0-9])' || regexp_extract(question, '[0-9]+') || '($|[^0-9])') as found from judge_pp_b where regexp_extract(question, '[0-9]+') <> ''")

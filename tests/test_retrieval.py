@@ -165,3 +165,33 @@ def test_row_judges(spark):
     assert (a["l"]["hit_1"], a["l"]["hit_3"], b["l"]["hit_3"]) == (False, True, False)
     assert a["a"]["passed"] and b["a"]["under_ask"] and not b["a"]["passed"]
     assert a["p"]["corrected"] and not a["p"]["leak"] and not b["p"]["corrected"]
+
+
+def test_calibration_grid_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    recalled = {f"q{i}": [(round(x, 2), rng.random() < 0.4) for x in sorted((rng.uniform(0.2, 3) for _ in range(i % 5)), reverse=True)] for i in range(23)}
+    recalled |= {"close": [(2.0, False), (1.9, True)], "alone": [(1.5, True)], "almost": [(0.99996, True), (0.9, False)]}
+    q = spark.createDataFrame([(k,) for k in recalled], "qid string")
+    scored = spark.createDataFrame([(k, r, s, g) for k, hits in recalled.items() for r, (s, g) in enumerate(hits, 1)], "qid string, rank int, score double, gold boolean")
+    cells = [(s, m, a) for s in (0.5, 1.0, 1.5, 2.0) for m in (0.1, 0.15, 0.2, 0.25) for a in (True, False)]
+    want = {}
+    for s, m, a in cells:
+        h1 = h3 = over = 0
+        for hits in recalled.values():
+            c = [(round(x, 4), g) for x, g in hits if x >= s]
+            over += len(c) > 1 and (c[0][0] - c[1][0]) / c[0][0] < m
+            anchors = [] if len(c) == 1 and not a else c
+            h1 += any(g for _, g in anchors[:1])
+            h3 += any(g for _, g in anchors[:3])
+        n = len(recalled)
+        want[s, m, a] = (n, round(h1 / n, 4), round(h3 / n, 4), round(over / n, 4))
+    order = lambda c: (-want[c][1], -want[c][2], -c[0], -c[1], c[2])
+    able = [c for c in cells if want[c][3] <= 0.2 and want[c][1] > 0]
+    got = {(r["min_score"], r["margin"], r["autopick"]): r for r in evaluation.calibration_grid(q, scored, spark.createDataFrame(cells, "min_score double, margin double, autopick boolean")).collect()}
+    assert {c: (r["n"], r["hit_1"], r["hit_3"], r["over_ask"]) for c, r in got.items()} == want and able
+    assert all(r["feasible"] == (want[c][3] <= 0.2) for c, r in got.items())
+    assert [c for c, r in got.items() if r["best"]] == [min(able, key=order)] and [c for c, r in got.items() if r["least_bad"]] == [min(cells, key=order)]
+    none = evaluation.calibration_grid(q, scored.where("not gold"), spark.createDataFrame(cells, "min_score double, margin double, autopick boolean"))
+    assert none.where("best").count() == 0 and none.count() == 32
