@@ -48,8 +48,10 @@ def pagerank(graph: Graph, etype: str = "CALLS", label: str = "Function", *, rou
     number of rounds. Mass of nodes without out-edges is spread evenly. The ranks sum to 1.
 
     A round is one join and one aggregation over the edges; every few rounds the ranks are written to the shared
-    folder, which cuts the plan and is where the change is measured.
+    folder, which cuts the plan and is where the change is measured. Without a fixed number of rounds that is every
+    round, so the first one below the tolerance is the last.
     """
+    every = 1 if rounds is None else every
     edges = stored(forward(graph, etype, label), "pagerank-edges")
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     ids = by_label(graph.nodes, label).select("id")
@@ -66,12 +68,11 @@ def pagerank(graph: Graph, etype: str = "CALLS", label: str = "Function", *, rou
         for _ in range(step):
             loose = rank.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
             push = edges.join(rank.where("deg > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
-            last = rank
             rank = base.join(push, "id", "left").crossJoin(F.broadcast(loose)).select("id", "deg", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         done += step
         rank = stored(rank, "pagerank")
         if rounds is None:
-            moved = rank.join((before if step == 1 else last).select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            moved = rank.join(before.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved < TOLERANCE:
                 break
     return rank.select("id", "rank")
@@ -83,12 +84,23 @@ def degrees(edges: DataFrame, *types: str) -> DataFrame:
     return e.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def all_metrics(graph: Graph, rounds: int | None = None) -> DataFrame:
-    """One row per function with all its metrics; nodes and edges keep their number."""
+def all_metrics(graph: Graph, rounds: int | None = None, complexity: DataFrame | None = None) -> DataFrame:
+    """One row per function and module with all its metrics; nodes and edges keep their number.
+
+    Functions have null in module_pagerank, modules in all the rest. complexity (id, cyclomatic) are the functions whose
+    source was parsed, by default the nodes' own column if there is one; cyclomatic is null for all others.
+    """
+    if complexity is None and "cyclomatic" in graph.nodes.columns:
+        complexity = by_label(graph.nodes, "Function").select("id", "cyclomatic")
+    if complexity is None:
+        complexity = graph.nodes.where("false").select("id", F.lit(None).cast("int").alias("cyclomatic"))
+    ranks = lambda etype, label, name: pagerank(graph, etype, label, rounds=rounds).select("id", F.round("rank", 8).alias(name))
     out = fan_in(graph)
-    for part in (change_heat(graph), fix_involvement(graph), blast_radius(graph), pagerank(graph, rounds=rounds).select("id", F.round("rank", 8).alias("pagerank"))):
+    for part in (change_heat(graph), fix_involvement(graph), blast_radius(graph), ranks("CALLS", "Function", "pagerank"), complexity):
         out = out.join(part, "id", "left")
-    return out
+    functions = out.select("id", F.lit("Function").alias("label"), *out.columns[1:])
+    modules = ranks("IMPORTS", "Module", "module_pagerank").select("id", F.lit("Module").alias("label"), "module_pagerank")
+    return functions.unionByName(modules, allowMissingColumns=True)
 
 
 def coverage(metrics: DataFrame) -> DataFrame:

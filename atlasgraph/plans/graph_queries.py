@@ -196,6 +196,11 @@ def _(G, spark, d):
     return me.pagerank(G, rounds=8, every=4).select("id", F.round("rank", 6).alias("rank"))
 
 
+@query("t6_pagerank_converged")
+def _(G, spark, d):
+    return me.pagerank(G).select("id", F.round("rank", 6).alias("rank"))
+
+
 @query("t7_path_exists", """, ch as (select a.src || '>' || a.dst || '>' || b.dst as chain_id, a.src as x, a.dst as y, b.dst as z from (select src, dst from e where type = 'IMPORTS') a join (select src, dst from e where type in ('IMPORTS', 'CONTAINS')) b on b.src = a.dst)
 select distinct chain_id, exists (select 1 from e where type = 'IMPORTS' and e.src = ch.y and e.dst = ch.z) as holds from ch""")
 def _(G, spark, d):
@@ -259,7 +264,17 @@ def _(G, spark, d):
     _HEAT + ", fi as (select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id), fx as (" + _FIX + ") select fi.id, fan_in, commits_all, commits_90d, churn_90d, heat, fix_involvement from fi join heat using (id) join fx using (id)",
 )
 def _(G, spark, d):
-    return me.all_metrics(G, rounds=4).select("id", "fan_in", "commits_all", "commits_90d", "churn_90d", "heat", "fix_involvement")
+    return me.all_metrics(G).where("label = 'Function'").select("id", "fan_in", "commits_all", "commits_90d", "churn_90d", "heat", "fix_involvement")
+
+
+@query("a14_node_metrics")
+def _(G, spark, d):
+    from ..sources.python_source import function_facts
+    from .extract_queries import _parsed
+
+    # A name defined twice in a file has the complexity of its last definition.
+    facts = function_facts(_parsed(spark, d)).select(g.norm_ref(F.concat_ws("::", "repo", "relpath", "qualname")).alias("id"), "span_start", "cyclomatic")
+    return me.all_metrics(G, complexity=facts.groupBy("id").agg(F.max_by("cyclomatic", "span_start").alias("cyclomatic")))
 
 
 @query("a14_coverage", _HEAT + ", fi as (select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id), fx as (" + _FIX + ") select count(*) as functions, round(avg((fan_in > 0)::int), 4) as called, round(avg((commits_all > 0)::int), 4) as changed, round(avg((fix_involvement > 0)::int), 4) as fixed from fi join heat using (id) join fx using (id)")

@@ -140,3 +140,41 @@ def test_imports(spark):
     mods = spark.createDataFrame([("app.api",), ("app.service",), ("app.core",)], "module string")
     out = resolve_imports(spark.createDataFrame(imp, "module string, seq int, target string, symbol string"), mods)
     assert {(r["module"], r["target"]): r["names"] for r in out.collect()} == {("app.api", "app.service"): ["Service"], ("app.api", "app.core"): ["util"], ("app.service", "app.core"): ["compute", "*module*"]}
+
+
+def _power_iteration(nodes, edges):
+    out = {x: {b for a, b in edges if a == x and b in nodes} for x in nodes}
+    rank, rounds = {x: 1 / len(nodes) for x in nodes}, 0
+    for rounds in range(1, 201):
+        loose = 0.85 * sum(rank[x] for x in nodes if not out[x]) / len(nodes)
+        new = {x: 0.15 / len(nodes) + loose for x in nodes}
+        for x in nodes:
+            for y in out[x]:
+                new[y] += 0.85 * rank[x] / len(out[x])
+        moved, rank = sum(abs(new[x] - rank[x]) for x in nodes), new
+        if moved < 1e-6:
+            break
+    return rank, rounds
+
+
+def test_all_metrics_converge_and_hold_modules(spark):
+    rng = random.Random(14)
+    fns, mods = [f"r::m{i % 5}.py::f{i}" for i in range(20)], [f"r::m{i}.py" for i in range(5)]
+    calls = {(fns[rng.randrange(20)], fns[rng.randrange(16)]) for _ in range(45)}
+    imports = {(mods[rng.randrange(5)], mods[rng.randrange(4)]) for _ in range(8)}
+    nodes = [(f, "Function", f.split("::")[-1], i % 4 == 0, None, i if i % 3 else None) for i, f in enumerate(fns)] + [(m, "Module", None, None, None, None) for m in mods]
+    edges = [(a, t, b, None, None) for t, e in (("CALLS", calls), ("IMPORTS", imports)) for a, b in e]
+    G = g.Graph(spark.createDataFrame(nodes, "id string, label string, qualname string, is_endpoint boolean, created_at timestamp, cyclomatic int"), spark.createDataFrame(edges, "src string, type string, dst string, lines_added int, lines_deleted int"))
+    got = {r["id"]: r for r in me.all_metrics(G).collect()}
+    assert set(got) == set(fns) | set(mods)
+    rank, rounds = _power_iteration(fns, calls)
+    assert rounds > 8 and rounds % 5
+    assert all(abs(got[f]["pagerank"] - rank[f]) < 1.1e-8 for f in fns) and all(got[f]["module_pagerank"] is None for f in fns)
+    rank, _ = _power_iteration(mods, imports)
+    assert all(abs(got[m]["module_pagerank"] - rank[m]) < 1.1e-8 and got[m]["fan_in"] is None for m in mods)
+    for i, f in enumerate(fns):
+        seen, front = set(), {f}
+        for _ in range(3):
+            front = {a for a, b in calls if b in front}
+            seen |= front
+        assert (got[f]["fan_in"], got[f]["blast_radius"], got[f]["cyclomatic"]) == (sum(b == f for _, b in calls), len(seen - {f}), i if i % 3 else None)
