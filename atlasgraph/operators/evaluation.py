@@ -18,7 +18,7 @@ def gold_equivalents(edges: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def recipe_pairs(graph: Graph, name: str) -> DataFrame:
-    """(key, value) of a named path query."""
+    """(key, value) of a named path query. The closures start at endpoints, with _all behind the name at all functions."""
     fn = by_label(graph.nodes, "Function").select("id", "is_endpoint")
     edge = lambda t, a="src", b="dst": by_type(graph.edges, t).select(F.col(a).alias("key"), F.col(b).alias("value"))
     of = lambda df, c: df.join(fn.select(F.col("id").alias(c)), c, "left_semi")
@@ -39,10 +39,10 @@ def recipe_pairs(graph: Graph, name: str) -> DataFrame:
         return of(edge("MODIFIES"), "value")
     if name == "fn_concepts":
         return of(edge("IMPLEMENTS"), "key")
-    if name in ("rev_calls_closure", "impact_modules"):
-        seeds = fn.where("is_endpoint").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    if name.removesuffix("_all") in ("rev_calls_closure", "impact_modules"):
+        seeds = (fn if name.endswith("_all") else fn.where("is_endpoint")).select(F.col("id").alias("seed"), F.col("id").alias("node"))
         levels = bfs_levels(seeds, reverse(graph.edges, "CALLS"), 3)
-        if name == "rev_calls_closure":
+        if name.startswith("rev_calls_closure"):
             return levels.where("level > 0").select(F.col("seed").alias("key"), F.col("node").alias("value"))
         return via(levels.select(F.col("seed").alias("key"), F.col("node").alias("value")), home)
     if name == "calls_chain":

@@ -133,6 +133,18 @@ def blast_radius(graph: Graph, depth: int = 3) -> DataFrame:
     return fn.select("id").join(size, "id", "left").select("id", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"), F.coalesce("blast_endpoints", F.lit(0)).alias("blast_endpoints"))
 
 
+def caller_pattern(graph: Graph, targets: DataFrame, hops: int = 3) -> DataFrame:
+    """(id, callers): of each target all that call it over one to so many CALLS, itself included where it lies on a cycle."""
+    rev = reverse(graph.edges, "CALLS")
+    hop = targets.select("id", F.col("id").alias("node")).distinct()
+    found = hop.where("false")
+    for _ in range(hops):
+        hop = hop.join(rev, "node").select("id", F.col("pred").alias("node")).distinct()
+        found = found.unionByName(hop)
+    callers = found.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("callers"))
+    return targets.select("id").distinct().join(callers, "id", "left").select("id", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
+
+
 def path_exists(edges: DataFrame, chains: DataFrame, etype: str = "CALLS") -> DataFrame:
     """(chain_id, holds): whether every step of the chain (an array of ids) is an edge; a chain of one id holds."""
     ends = F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("src"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("dst"))

@@ -157,6 +157,26 @@ def _(G, spark, d):
     return _joined(im.impact(G, by_label(G.nodes, "Function").where("is_endpoint").select("id"), 3, "imports"))
 
 
+def _of_all(name: str, *changes: tuple[str, str]) -> str:
+    """The SQL of a query of endpoints, for all functions."""
+    sql = ORACLE[name][len(BASE):]
+    for a, b in changes:
+        if a not in sql:
+            raise ValueError(f"{name}: no {a!r}")
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query("t2_impact_calls_all", _of_all("t2_impact_calls", ("0 as level from fn where is_endpoint union", "0 as level from fn union"), ("r.level < 2", "r.level < 3"), ("2 as depth", "3 as depth"), ("l.level = 2", "l.level = 3")))
+def _(G, spark, d):
+    return _joined(im.impact(G, by_label(G.nodes, "Function").select("id"), 3, "calls"))
+
+
+@query("t3_impact_imports_all", _of_all("t3_impact_imports", ("(select id from fn where is_endpoint)", "(select id from fn)")))
+def _(G, spark, d):
+    return _joined(im.impact(G, by_label(G.nodes, "Function").select("id"), 3, "imports"))
+
+
 _SYMBOLS = "(select distinct split_part(qualname, '.', -1) as symbol from fn union select distinct qualname from fn union select distinct name from n where label = 'Module')"
 
 
@@ -213,12 +233,13 @@ def _(G, spark, d):
 @query("t8_caller_pattern", """, w as (select c1.node, c1.pred from calls c1 union select c1.node, c2.pred from calls c1 join calls c2 on c2.node = c1.pred)
 select fn.id, coalesce(string_agg(distinct w.pred, '|' order by w.pred), '') as callers from fn left join w on w.node = fn.id where fn.is_endpoint group by fn.id""")
 def _(G, spark, d):
-    rev = g.reverse(G.edges, "CALLS")
-    ends = by_label(G.nodes, "Function").where("is_endpoint").select("id")
-    one = ends.join(rev.withColumnRenamed("node", "id"), "id")
-    two = one.withColumnRenamed("pred", "node").join(rev, "node").select("id", "pred")
-    found = one.unionByName(two).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("pred")), "|").alias("callers"))
-    return ends.join(found, "id", "left").select("id", F.coalesce("callers", F.lit("")).alias("callers"))
+    return _joined(im.caller_pattern(G, by_label(G.nodes, "Function").where("is_endpoint").select("id"), 2))
+
+
+@query("t8_caller_pattern_all", """, w as (select c1.node, c1.pred from calls c1 union select c1.node, c2.pred from calls c1 join calls c2 on c2.node = c1.pred union select c1.node, c3.pred from calls c1 join calls c2 on c2.node = c1.pred join calls c3 on c3.node = c2.pred)
+select fn.id, coalesce(string_agg(distinct w.pred, '|' order by w.pred), '') as callers from fn left join w on w.node = fn.id group by fn.id""")
+def _(G, spark, d):
+    return _joined(im.caller_pattern(G, by_label(G.nodes, "Function").select("id")))
 
 
 @query("a3_fan_in", "select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id")
@@ -332,6 +353,11 @@ def _(G, spark, d):
     return by_label(G.nodes, "Function").where("is_endpoint").select("id", "path").join(me.fan_in(G), "id", "left").select("id", "path", "fan_in")
 
 
+@query("j16_enriched_candidates_all", _of_all("j16_enriched_candidates", ("where is_endpoint ", "")))
+def _(G, spark, d):
+    return by_label(G.nodes, "Function").select("id", "path").join(me.fan_in(G), "id", "left").select("id", "path", "fan_in")
+
+
 @query("j17_gold_equivalents", """, w as (select distinct gold_entity as gold from dataset where gold_entity is not null)
 select gold, string_agg(distinct x, '|' order by x) as ids from (select gold, gold as x from w union select gold, dst from w join e on e.src = gold and type in ('IMPLEMENTS', 'DESCRIBES') union select gold, src from w join e on e.dst = gold and type in ('IMPLEMENTS', 'DESCRIBES')) group by gold""")
 def _(G, spark, d):
@@ -403,6 +429,10 @@ for _name, _sql in _RECIPES.items():
     query(f"j20_{_name}", _LV + f" select key, count(distinct value) as n, min(value) as first, max(value) as last from ({_sql}) group by key")(_recipe(_name))
 
 
+for _name in ("rev_calls_closure", "impact_modules"):
+    query(f"j20_{_name}_all", _of_all(f"j20_{_name}", ("from fn where is_endpoint union", "from fn union")))(_recipe(f"{_name}_all"))
+
+
 @query("k7_viz_data", """, dg as (select id, count(*) as degree from (select src as id from e union all select dst from e) group by id)
 select n.id, n.label, coalesce(n.qualname, n.name, n.path, n.hash, split_part(n.id, '::', -1)) as title, coalesce(dg.degree, 0) as degree from n left join dg on dg.id = n.id""")
 def _(G, spark, d):

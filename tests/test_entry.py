@@ -56,3 +56,14 @@ def test_against_sql(spark, small, sql, name):
 @pytest.mark.parametrize("name", sorted(n for n in CORE if n not in ORACLE and n not in HEAVY)[::4])
 def test_without_sql(spark, small, name):
     assert CORE[name](spark, small).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["t2_impact_calls", "t3_impact_imports", "t8_caller_pattern", "j16_enriched_candidates", "j20_rev_calls_closure", "j20_impact_modules"])
+def test_all_functions_are_targets(spark, small, sql, name):
+    test_against_sql(spark, small, sql, f"{name}_all")
+    every, few = CORE[f"{name}_all"](spark, small), CORE[name](spark, small)
+    key = few.columns[0]
+    assert few.select(key).subtract(every.select(key)).count() == 0 and every.count() > few.count()
+    if name.startswith("t"):
+        fn = CORE["s5_nodes_of_label"](spark, small).select("id")
+        assert every.count() == (fn.join(CORE["j10_module_of"](spark, small), "id", "left_semi") if "imports" in name else fn).count()

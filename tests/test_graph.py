@@ -178,3 +178,11 @@ def test_all_metrics_converge_and_hold_modules(spark):
             front = {a for a, b in calls if b in front}
             seen |= front
         assert (got[f]["fan_in"], got[f]["blast_radius"], got[f]["cyclomatic"]) == (sum(b == f for _, b in calls), len(seen - {f}), i if i % 3 else None)
+
+
+def test_caller_pattern_takes_three_hops(app, spark):
+    G, fid = app
+    got = {r["id"]: names(r["callers"]) for r in im.caller_pattern(G, g.by_label(G.nodes, "Function").select("id")).collect()}
+    assert got[fid["util"]] == ["Service.run", "compute", "handler_a", "handler_b", "helper"] and got[fid["handler_a"]] == [] and len(got) == 6
+    loop = g.Graph(G.nodes, spark.createDataFrame([(fid["util"], "CALLS", fid["compute"]), (fid["compute"], "CALLS", fid["util"])], G.edges.schema))
+    assert names(im.caller_pattern(loop, spark.createDataFrame([(fid["util"],)], "id string")).first()["callers"]) == ["compute", "util"]
