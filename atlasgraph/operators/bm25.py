@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_stop_words, first_filled_line, zh_terms
+from ..functions.text import drop_stop_words, zh_terms
 from ..session import stored
+from .context import BUDGET, within_budget
 
 K1, B, MIN_SCORE, TOP = 1.5, 0.75, 1.0, 8
 
@@ -84,7 +85,22 @@ def topic_recall(index: Index, questions: DataFrame, k: int = TOP, min_score: fl
     return ranking(index, questions, k, min_score, key).withColumn("score", F.round("score", 4))
 
 
-def bm25_context(index: Index, questions: DataFrame, documents: DataFrame, key: str = "qid") -> DataFrame:
-    """The baseline: (key, rank, id, score, line), 8 best documents of any score with the first line of their text."""
+HEADING = "【BM25 Top-8 文档】（来源: 纯 BM25 检索，无图谱结构 / 无符号链接 / 无影响面）"
+
+
+def bm25_context(index: Index, questions: DataFrame, documents: DataFrame, key: str = "qid", budget: int = BUDGET) -> DataFrame:
+    """The baseline: (key, linked, context_text), of every question the ids of the 8 best documents of any score, and their
+    whole texts in this order within the budget. A text that doesn't fit ends the context.
+
+    documents has id and text, and may have label, name and path.
+    """
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in documents.columns else other
+    place = F.when(has("path", F.lit("")) != "", F.concat(F.lit("  ⟨"), has("path", F.lit("")), F.lit("⟩"))).otherwise("")
+    shown = documents.select("id", F.concat(F.lit("] ["), has("label", F.lit("Document")), F.lit("] "), has("name", F.col("id").cast("string")), place).alias("head"), F.coalesce("text", F.lit("")).alias("text"))
     top = topic_recall(index, questions, TOP, 0.0, key)
-    return top.join(documents.select("id", first_filled_line(F.col("text")).alias("line")), "id").select(key, "rank", "id", "score", "line")
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.col("head"), F.lit("  (BM25="), F.col("score").cast("string"), F.lit(")"))
+    lines = top.join(shown, "id").select(key, F.col("rank").cast("int").alias("o"), F.posexplode(F.array(head, F.concat(F.lit("    "), "text"))).alias("p", "line"))
+    every = questions.select(key).distinct()
+    lines = every.select(key, F.lit(0).alias("o"), F.lit(0).alias("p"), F.lit(HEADING).alias("line")).unionByName(lines).select(key, F.struct("o", "p").alias("seq"), "line")
+    linked = top.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("linked"))
+    return within_budget(lines, key, budget).join(linked, key, "left").select(key, "linked", "context_text")

@@ -67,9 +67,14 @@ def _(spark, d):
 
 
 @query("r5_bm25_context", _INDEX + ", r0 as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as r from sc) select qid, r as rank, id, round(score, 4) as score from r0 where r <= 8")
+def _(spark, d):
+    return bm25.topic_recall(bm25.build_index(_docs(spark, d)), search_queries(spark, d), bm25.TOP, 0.0).drop("matched_terms")
+
+
+@query("r5_context_text")
 def _(spark, d):
     docs = _docs(spark, d)
-    return bm25.bm25_context(bm25.build_index(docs), search_queries(spark, d), docs).drop("line")
+    return bm25.bm25_context(bm25.build_index(docs), search_queries(spark, d), docs).select("qid", F.array_join(F.col("linked").cast("array<string>"), "|").alias("linked"), "context_text")
 
 
 _KEYS = r""", sy as (select id, label, qualname as name, string_split(qualname, '.') as p from n where label in ('Function', 'Class') and qualname is not null),

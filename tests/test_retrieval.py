@@ -195,3 +195,18 @@ def test_calibration_grid_equals_brute_force(spark):
     assert [c for c, r in got.items() if r["best"]] == [min(able, key=order)] and [c for c, r in got.items() if r["least_bad"]] == [min(cells, key=order)]
     none = evaluation.calibration_grid(q, scored.where("not gold"), spark.createDataFrame(cells, "min_score double, margin double, autopick boolean"))
     assert none.where("best").count() == 0 and none.count() == 32
+
+
+def test_bm25_context_holds_whole_texts(spark):
+    texts = {1: "cursor ledger\nsecond line of one", 2: "cursor pallet\n" + "x" * 60, 3: "beacon\nshard"} | {i: f"filler words {i}" for i in range(4, 12)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    index = bm25.build_index(docs)
+    q = spark.createDataFrame([("q", "cursor ledger"), ("none", "zzz")], "qid string, question string")
+    rank = {r["id"]: (r["rank"], r["score"]) for r in bm25.topic_recall(index, q, 8, 0.0).collect()}
+    assert sorted(rank, key=rank.get) == [1, 2]
+    want = [bm25.HEADING] + [x for i in (1, 2) for x in (f"[{rank[i][0]}] [Document] {i}  (BM25={rank[i][1]})", "    " + texts[i])]
+    got = {r["qid"]: r for r in bm25.bm25_context(index, q, docs).collect()}
+    assert got["q"]["context_text"] == "".join(x + "\n" for x in want) and got["q"]["linked"] == [1, 2]
+    assert got["none"]["context_text"] == bm25.HEADING + "\n"
+    short = bm25.bm25_context(index, q, docs, budget=sum(len(x) + 1 for x in want) - 1).where("qid = 'q'").first()["context_text"]
+    assert short == "".join(x + "\n" for x in want[:-1]) + NOTICE
