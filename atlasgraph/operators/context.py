@@ -56,15 +56,60 @@ def overview_rows(graph: Graph) -> DataFrame:
     return mods.union(hot).union(core)
 
 
+def _optional(df: DataFrame, c: str) -> Column:
+    return F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+
+
+def entrypoints(graph: Graph) -> DataFrame:
+    """(id, qualname, http_method, route_path) of every endpoint."""
+    fn = by_label(graph.nodes, "Function").where("is_endpoint")
+    return fn.select("id", "qualname", _optional(fn, "http_method"), _optional(fn, "route_path"))
+
+
 def repo_card(graph: Graph) -> DataFrame:
-    """One row: the counts by label, the overview's lists as arrays of structs, and the entry points (endpoints)."""
+    """One row: the counts by label, the overview's lists as arrays of structs, and all entry points (endpoints)."""
     stats = graph.nodes.groupBy().agg(*[F.count(F.when(F.col("label") == x, 1)).alias(f"n_{x.lower()}") for x in ("Module", "Class", "Function", "Commit", "Issue", "Concept")])
     rows = overview_rows(graph)
     lists = rows.groupBy().agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("n")).alias("k"), F.col("name"))))), lambda x: F.struct(x["name"].alias("name"), (-x["k"]).alias("n"))).alias(s) for s in ("modules", "hot", "concepts")])
-    ends = by_label(graph.nodes, "Function").where("is_endpoint").orderBy("id").limit(20).groupBy().agg(F.sort_array(F.collect_list("id")).alias("entrypoints"))
+    ends = entrypoints(graph).groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "qualname", "http_method", "route_path"))).alias("entrypoints"))
     return stats.crossJoin(lists).crossJoin(ends)  # one row each
 
 
+def card_text(graph: Graph, summary: str | None = None) -> DataFrame:
+    """One row: the card as text. Repositories, counts, the summary if there is one, the overview's lists and all entry points."""
+    nodes = graph.nodes
+    count = lambda x: F.count(F.when(F.col("label") == x, 1)).cast("string")
+    repos = F.array_join(F.sort_array(F.collect_set(_optional(nodes, "repo"))), ", ")
+    size = F.concat(F.lit("规模: 模块 "), count("Module"), F.lit(" · 类 "), count("Class"), F.lit(" · 函数 "), count("Function"), F.lit(" · 提交 "), count("Commit"), F.lit(" · 概念 "), count("Concept"))
+    told = [F.lit(""), F.lit("【概述】（来源: 索引期网关生成 · 已过专名白名单校验）"), F.lit(summary)] if summary else []
+    none = F.count(F.when((F.col("label") == "Function") & F.col("is_endpoint"), 1)) == 0
+    head = [F.lit("【仓库卡片】（来源: 图谱统计 · level-0 repo_card）"), F.concat(F.lit("仓库: "), F.when(repos == "", "(unknown)").otherwise(repos)), size, *told]
+    ends_title = F.when(none, "【入口点】（来源: Function.is_endpoint 聚合）: （本图无 HTTP 端点）").otherwise("【入口点】（来源: Function.is_endpoint 聚合）")
+
+    def part(df: DataFrame, s: int, k: Column, name: Column, line: Column, title: str | None = None) -> DataFrame:
+        rows = df.select(F.lit(s).alias("s"), F.lit(2).alias("t"), k.cast("long").alias("k"), name.alias("name"), line.alias("line"))
+        if title is None:
+            return rows
+        first = rows.limit(1).select("s", F.posexplode(F.array(F.lit(""), F.lit(title))).alias("t", "line"))
+        return rows.unionByName(first.select("s", "t", F.lit(0).cast("long").alias("k"), F.lit("").alias("name"), "line"))
+
+    once = nodes.groupBy().agg(F.array(*head).alias("head"), F.array(F.lit(""), ends_title).alias("ends"))
+    fixed = once.select(F.lit(0).alias("s"), F.posexplode("head").alias("t", "line")).unionByName(once.select(F.lit(4).alias("s"), F.posexplode("ends").alias("t", "line")))
+    out = fixed.select("s", "t", F.lit(0).cast("long").alias("k"), F.lit("").alias("name"), "line")
+    doc = first_filled_line(F.col("text"))
+    mods = by_label(nodes, "Module").orderBy(F.desc(F.coalesce("loc", F.lit(0))), "path").limit(TOP_MODULES)
+    shown = F.concat(F.lit("- "), F.coalesce("path", F.lit("?")), F.lit(" (loc="), F.coalesce(F.col("loc").cast("string"), F.lit("?")), F.lit("): "), F.when(F.coalesce(doc, F.lit("")) == "", "（无 docstring）").otherwise(doc))
+    out = out.unionByName(part(mods, 1, -F.coalesce("loc", F.lit(0)), F.coalesce("path", F.lit("")), shown, "【顶层模块】（来源: Module 按 loc 降序）"))
+    about = nodes.select("id", "qualname", "name", "text")
+    hot = _targets(graph, "MODIFIES").orderBy(F.desc("n"), "id").limit(TOP_HOT).join(about, "id")
+    out = out.unionByName(part(hot, 2, -F.col("n"), F.col("id"), F.concat(F.lit("- "), F.coalesce("qualname", tail(F.col("id"))), F.lit(" (被 "), F.col("n").cast("string"), F.lit(" 次提交修改)")), "【热点函数】（来源: MODIFIES 计数，改动最频繁）"))
+    core = _targets(graph, "IMPLEMENTS").orderBy(F.desc("n"), "id").limit(TOP_CONCEPTS).join(about, "id")
+    out = out.unionByName(part(core, 3, -F.col("n"), F.col("id"), F.concat(F.lit("- "), F.coalesce("name", tail(F.col("id"))), F.lit(" (落 "), F.col("n").cast("string"), F.lit(" 处实现): "), F.coalesce(doc, F.lit(""))), "【核心概念】（来源: IMPLEMENTS 落点最多）"))
+    ends = entrypoints(graph)
+    out = out.unionByName(part(ends, 4, F.lit(0), F.col("id"), F.concat(F.lit("- "), F.coalesce("qualname", F.lit("")), F.lit(" ["), F.coalesce("http_method", F.lit("?")), F.lit(" "), F.coalesce("route_path", F.lit("?")), F.lit("]"))))
+    return out.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "t", "k", "name", "line"))), lambda x: x["line"]), "\n").alias("card"))
+
+
 def within_budget(lines: DataFrame, key: str, budget: int = BUDGET) -> DataFrame:
     """(key, context_text) of rows (key, seq, line): whole lines while the running length, line ends included, keeps
     within the budget; what was cut is told behind it, beyond the budget."""

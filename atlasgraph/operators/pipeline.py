@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import first_filled_line, half_width
 from ..session import stored
 from . import bm25, linking, routing
-from .context import BUDGET, concept_expansion, overview_rows, symbol_lines, within_budget
+from .context import BUDGET, card_text, concept_expansion, overview_rows, symbol_lines, within_budget
 from .graph import Graph, tail
 
 # What a question outside the repository is answered with.
@@ -59,13 +59,14 @@ def _with_extra(graph: Graph, index: bm25.Index, extra: DataFrame, alone: DataFr
     return links, topics.join(links.select("qid"), "qid", "left_anti")
 
 
-def build_context(graph: Graph, documents: DataFrame, questions: DataFrame, budget: int = BUDGET, allow_overview: bool = True, extra: DataFrame | None = None) -> DataFrame:
+def build_context(graph: Graph, documents: DataFrame, questions: DataFrame, budget: int = BUDGET, allow_overview: bool = True, extra: DataFrame | None = None, summary: str | None = None) -> DataFrame:
     """A row per question (qid, question): route_label, route_source, mode, linked ids, topics, context_text, degraded,
     needs_disambiguation, pick, candidates, premise_flags, suggestions, resolved_query.
 
     Linked questions take the symbol branch, or ask back if their candidates are too close; unlinked ones the topic
     branch, then the overview. Topics are recalled only for questions without a link. extra (qid, seq, question) holds
-    rewritings that questions without a link may use, at most four each. Every question gets a row.
+    rewritings that questions without a link may use, at most four each. Meta questions get the repository card, with the
+    summary if there is one. Every question gets a row.
     """
     # Each stage feeds several branches, so it is written once instead of being worked out in every one.
     graph = Graph(stored(graph.nodes, "context-nodes"), stored(graph.edges, "context-edges"))
@@ -88,12 +89,12 @@ def build_context(graph: Graph, documents: DataFrame, questions: DataFrame, budg
     topic = stored(within_budget(topic_lines(graph, recall.join(local, "qid", "left_semi")), "qid", budget), "context-topic").withColumnRenamed("context_text", "topic_text")
     ask = linked.join(local, "qid", "left_semi").groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("ask_text"))
     flags = routing.verify_premises(routing.node_text(graph.nodes), routing.lexical_premises(q, key="qid"), key="qid").groupBy("qid").agg(F.sort_array(F.collect_list("claim")).alias("premise_flags"))
-    out = routed.join(choice, "qid", "left").join(symbol, "qid", "left").join(topic, "qid", "left").join(ask, "qid", "left").join(flags, "qid", "left").crossJoin(F.broadcast(overview_text(graph)))
+    out = routed.join(choice, "qid", "left").join(symbol, "qid", "left").join(topic, "qid", "left").join(ask, "qid", "left").join(flags, "qid", "left").crossJoin(F.broadcast(overview_text(graph))).crossJoin(F.broadcast(card_text(graph, summary)))
     is_local = F.col("route_label") == "entity_local"
     asks = is_local & F.coalesce("needs_disambiguation", F.lit(False))
     over = F.col("overview") if allow_overview else F.lit("")
     text = (
-        F.when(F.col("route_label") == "out_of_scope", F.lit(OUTSIDE)).when(~is_local, F.col("overview"))
+        F.when(F.col("route_label") == "out_of_scope", F.lit(OUTSIDE)).when(F.col("route_label") == "meta", F.col("card")).when(~is_local, F.col("overview"))
         .when(asks, F.concat(F.lit("【候选消歧】（来源: 词面链接多合法候选，需澄清）\n"), "ask_text")).otherwise(F.coalesce("symbol_text", "topic_text", over))
     )
     lost = is_local & F.col("symbol_text").isNull() & F.col("topic_text").isNull() & ~asks

@@ -210,3 +210,20 @@ def test_bm25_context_holds_whole_texts(spark):
     assert got["none"]["context_text"] == bm25.HEADING + "\n"
     short = bm25.bm25_context(index, q, docs, budget=sum(len(x) + 1 for x in want) - 1).where("qid = 'q'").first()["context_text"]
     assert short == "".join(x + "\n" for x in want[:-1]) + NOTICE
+
+
+def test_card_lists_every_entry_point(spark):
+    from atlasgraph.operators.context import card_text, repo_card
+    from atlasgraph.operators.graph import Graph
+    from atlasgraph.operators.pipeline import build_context
+
+    fns = [(f"r::a.py::f{i:02}", "Function", "r", f"f{i:02}", "a.py", None, None, None, None, None, i != 7, "GET" if i else None, f"/p{i}") for i in range(26)]
+    nodes = spark.createDataFrame([*fns, ("r::a.py", "Module", "r", None, "a.py", "a", None, "Docs of a.", None, 10, None, None, None), ("concept::x", "Concept", "r", None, None, "shard roster", None, "about", None, None, None, None, None)], "id string, label string, repo string, qualname string, path string, name string, hash string, text string, authored_at string, loc int, is_endpoint boolean, http_method string, route_path string")
+    G = Graph(nodes, spark.createDataFrame([("r::k", "MODIFIES", "r::a.py::f07"), ("r::a.py::f01", "IMPLEMENTS", "concept::x")], "src string, type string, dst string"))
+    assert [(x["qualname"], x["http_method"], x["route_path"]) for x in repo_card(G).first()["entrypoints"]] == [(f[3], f[11], f[12]) for f in fns if f[10]]
+    want = ["【仓库卡片】（来源: 图谱统计 · level-0 repo_card）", "仓库: r", "规模: 模块 1 · 类 0 · 函数 26 · 提交 0 · 概念 1", "", "【概述】（来源: 索引期网关生成 · 已过专名白名单校验）", "short", "", "【顶层模块】（来源: Module 按 loc 降序）", "- a.py (loc=10): Docs of a."]
+    want += ["", "【热点函数】（来源: MODIFIES 计数，改动最频繁）", "- f07 (被 1 次提交修改)", "", "【核心概念】（来源: IMPLEMENTS 落点最多）", "- shard roster (落 1 处实现): about", "", "【入口点】（来源: Function.is_endpoint 聚合）"]
+    want += [f"- {f[3]} [{f[11] or '?'} {f[12]}]" for f in fns if f[10]]
+    assert card_text(G, "short").first()["card"].split("\n") == want
+    got = build_context(G, nodes.where("text is not null").select("id", "text"), spark.createDataFrame([("m", "了解这个项目")], "qid string, question string"), summary="short").first()
+    assert got["route_label"] == "meta" and got["context_text"].split("\n") == want
