@@ -40,6 +40,11 @@ def _outermost(texts: pd.Series) -> pd.Series:
     return texts.map(outermost, na_action="ignore")
 
 
+def last_reply(text: Column) -> Column:
+    """What follows the last <retry>, which is the reply that counts; a text without one as it is."""
+    return F.substring_index(text, "<retry>", -1)
+
+
 def outer_object(text: Column) -> Column:
     """outermost() as an expression: brace matching is the one thing here that the JVM's functions can't say. A text that
     is one object as a whole stays in the JVM."""

@@ -161,6 +161,16 @@ def _(spark, d):
     return within_budget(lines, "source").select("source", F.length("context_text").cast("long").alias("chars"))
 
 
+@query("l7_budget_lines", """with l as (select source, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null and source is not null),
+s as (select source, length(line) + 1 as n, sum(length(line) + 1) over (partition by source order by doc_id, i) as run from l)
+select source, coalesce(sum(n) filter (run <= 6000), 0)::bigint + case when max(run) > 6000 then length('…（上下文因预算截断，仅保留高优先级内容）') else 0 end as chars from s group by source""")
+def _(spark, d):
+    from ..operators.context import within_budget
+
+    lines = _table(spark, d, "documents").where("text is not null and source is not null").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return within_budget(lines.select("source", F.struct("doc_id", "p").alias("seq"), "line"), "source").select("source", F.length("context_text").cast("long").alias("chars"))
+
+
 @query("r1_build_context")
 def _(spark, d):
     G = test_graph(spark, d)

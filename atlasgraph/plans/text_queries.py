@@ -155,6 +155,14 @@ def _(spark, d):
     return r.select("row_no", v.alias("v")).where("v is not null").select("row_no", F.try_variant_get("v", "$.verdict", "string").alias("verdict"), F.try_variant_get("v", "$.reason", "string").alias("reason"))
 
 
+@query("f20_json_verdict_all")
+def _(spark, d):
+    from ..functions.jsonx import last_reply, outer_object
+
+    v = _table(spark, d, "judge_pp_b").select("row_no", F.try_parse_json(outer_object(last_reply(F.col("raw_response")))).alias("v"))
+    return v.where("v is not null").select("row_no", F.try_variant_get("v", "$.verdict", "string").alias("verdict"), F.try_variant_get("v", "$.reason", "string").alias("reason"))
+
+
 @query("f21_tidy_aliases", "select group_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(aliases, []), lambda a: trim(a)), lambda a: a is not null and a <> ''))), '|') as aliases from concept_groups")
 def _(spark, d):
     return _table(spark, d, "concept_groups").select("group_no", F.array_join(F.sort_array(tx.tidy(F.coalesce("aliases", F.array().cast("array<string>")))), "|").alias("aliases"))

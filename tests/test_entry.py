@@ -67,3 +67,7 @@ def test_all_functions_are_targets(spark, small, sql, name):
     if name.startswith("t"):
         fn = CORE["s5_nodes_of_label"](spark, small).select("id")
         assert every.count() == (fn.join(CORE["j10_module_of"](spark, small), "id", "left_semi") if "imports" in name else fn).count()
+
+
+def test_budget_takes_every_line(spark, small, sql):
+    test_against_sql(spark, small, sql, "l7_budget_lines")

@@ -78,3 +78,12 @@ def test_terms_match_plain_python(ev, texts):
         return out
 
     assert ev(tx.zh_terms, *texts) == [plain(t) for t in texts]
+
+
+def test_reply_after_the_last_retry_counts(spark, tmp_path):
+    from atlasgraph.plans.text_queries import QUERIES
+
+    replies = ['```j\n<retry>\n```json\n{"verdict": "correct", "reason": "a}b"}\n```', '{"verdict": "wrong"}<retry>{"verdict": "partial"}<retry>said {"verdict": "correct"} and {"x": 1}', '{"verdict": "wrong"}', "none", '{"verdict": "wrong"} <retry> none', None]
+    spark.createDataFrame(list(enumerate(replies)), "row_no int, raw_response string").write.parquet(str(tmp_path / "judge_pp_b.parquet"))
+    got = QUERIES["f20_json_verdict_all"](spark, str(tmp_path))
+    assert sorted((r["row_no"], r["verdict"], r["reason"]) for r in got.collect()) == [(0, "correct", "a}b"), (1, "correct", None), (2, "wrong", None)]
