@@ -39,12 +39,16 @@ def symbol_keys(nodes: DataFrame) -> DataFrame:
 
 
 def alias_hits(nodes: DataFrame, questions: DataFrame, key: str = "qid") -> DataFrame:
-    """(key, matched, method, score, id, label, name): aliases of three characters or more that a question contains.
+    """(key, matched, method, score, id, label, name): aliases of three characters or more that a question contains;
+    zh_aliases of any node, aliases of concepts too.
 
     Containment has no equality to join on, so aliases and questions meet on the alias's first three characters:
     each question offers all its three-character pieces once.
     """
-    a = nodes.select("id", "label", F.coalesce("qualname", "name").alias("name") if "qualname" in nodes.columns else "name", F.explode("zh_aliases").alias("alias"))
+    none = F.array().cast("array<string>")
+    some = lambda c: F.coalesce(F.col(c), none) if c in nodes.columns else none
+    every = F.concat(some("zh_aliases"), F.when(F.col("label") == "Concept", some("aliases")).otherwise(none))
+    a = nodes.select("id", "label", F.coalesce("qualname", "name").alias("name") if "qualname" in nodes.columns else "name", F.explode(F.array_distinct(every)).alias("alias"))
     a = a.withColumn("alias", F.trim("alias")).where((F.length("alias") >= ALIAS_LENGTH) & ~F.col("alias").isin(*sorted(STOP_WORDS))).withColumn("low", F.lower("alias")).withColumn("piece", F.substring("low", 1, 3))
     q = questions.select(key, F.lower("question").alias("q")).where(F.length("q") >= 3)
     pieces = q.select(key, "q", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(q) - 2), i -> substring(q, i, 3))"))).alias("piece"))

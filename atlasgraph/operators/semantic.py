@@ -74,6 +74,15 @@ def commit_batches(commits: DataFrame, modifies: DataFrame, size: int = BATCH) -
     return out.select("batch", "commits", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
+def docstring_batch(modules: DataFrame, functions: DataFrame) -> DataFrame:
+    """(modules, candidates): one row with all modules (id, docstring) that have a docstring, and the functions whose id begins
+    with one of theirs; no row without such modules. An id offers all that stands before one of its '::'."""
+    told = modules.where("trim(coalesce(docstring, '')) <> ''").select(F.col("id").alias("module")).distinct()
+    before = F.expr("transform(sequence(1, size(split(id, '::'))), i -> substring_index(id, '::', i))")
+    cand = functions.select("id", F.explode(before).alias("module")).where("module <> id").join(told, "module", "left_semi").groupBy().agg(F.sort_array(F.collect_set("id")).alias("candidates"))
+    return told.groupBy().agg(F.sort_array(F.collect_list("module")).alias("modules")).where("size(modules) > 0").crossJoin(cand)  # one row each
+
+
 def interleave(a: Column, b: Column, cap: int = ALIAS_CAP) -> Column:
     """Two lists alternately, tidy and distinct, at most cap entries (the merged card's own limit)."""
     pairs = F.flatten(F.zip_with(a, b, lambda x, y: F.array(x, y)))

@@ -88,6 +88,14 @@ def _(spark, d):
     return b.select("batch", F.size("commits").cast("long").alias("commits"), F.col("commits")[0].alias("first"), F.size("candidates").cast("long").alias("candidates"))
 
 
+@query("a15_docstring_batch", BASE + """, m as (select id from n where label = 'Module' and trim(coalesce(text, '')) <> '')
+select count(*) as modules, min(id) as first, (select count(distinct fn.id) from fn join m on starts_with(fn.id, m.id || '::')) as candidates from m having count(*) > 0""")
+def _(spark, d):
+    nodes = test_graph(spark, d).nodes
+    b = semantic.docstring_batch(by_label(nodes, "Module").select("id", F.col("text").alias("docstring")), by_label(nodes, "Function"))
+    return b.select(F.size("modules").cast("long").alias("modules"), F.col("modules")[0].alias("first"), F.size("candidates").cast("long").alias("candidates"))
+
+
 @query("a16_merge_cards", """with g as (select group_no, list_filter(list_transform(coalesce(aliases, []), lambda x: trim(x)), lambda x: x is not null and x <> '') as a, list_filter(list_transform(coalesce(members, []), lambda x: trim(x)), lambda x: x is not null and x <> '') as b, coalesce(aliases, []) as ra, coalesce(members, []) as rb from concept_groups),
 z as (select group_no, p, alias, min(o) over (partition by group_no, alias) as o from (select group_no, 0 as p, trim(x) as alias, i * 2 as o from (select group_no, unnest(ra) as x, generate_subscripts(ra, 1) as i from g) union all select group_no, 1, trim(x), i * 2 + 1 from (select group_no, unnest(rb) as x, generate_subscripts(rb, 1) as i from g)) where alias is not null and alias <> ''),
 y as (select distinct group_no, alias, o from z), w as (select *, row_number() over (partition by group_no order by o) as r from y), m as (select * from w where r <= 6),

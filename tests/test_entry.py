@@ -71,3 +71,7 @@ def test_all_functions_are_targets(spark, small, sql, name):
 
 def test_budget_takes_every_line(spark, small, sql):
     test_against_sql(spark, small, sql, "l7_budget_lines")
+
+
+def test_docstring_batch(spark, small, sql):
+    test_against_sql(spark, small, sql, "a15_docstring_batch")

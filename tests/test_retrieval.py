@@ -227,3 +227,14 @@ def test_card_lists_every_entry_point(spark):
     assert card_text(G, "short").first()["card"].split("\n") == want
     got = build_context(G, nodes.where("text is not null").select("id", "text"), spark.createDataFrame([("m", "了解这个项目")], "qid string, question string"), summary="short").first()
     assert got["route_label"] == "meta" and got["context_text"].split("\n") == want
+
+
+def test_concept_aliases_and_docstring_batch(spark):
+    nodes = spark.createDataFrame([("c", "Concept", None, None, "watchdog", ["看门狗", "狗"], None), ("f", "Function", "A.go", "a.py", None, ["看门狗"], None)], NODES)
+    q = spark.createDataFrame([("1", "谁喂看门狗")], "qid string, question string")
+    assert rows(linking.alias_hits(nodes, q), "id", "matched") == [("c", "看门狗")]
+    mods = spark.createDataFrame([("r::a.py", "Docs."), ("r::b.py", " "), ("r::c", "More.")], "id string, docstring string")
+    fns = spark.createDataFrame([("r::a.py::f",), ("r::a.py::A.g",), ("r::a.pyx::h",), ("r::b.py::f",), ("r::c::d::e",)], "id string")
+    got = semantic.docstring_batch(mods, fns).first()
+    assert got["modules"] == ["r::a.py", "r::c"] and got["candidates"] == ["r::a.py::A.g", "r::a.py::f", "r::c::d::e"]
+    assert semantic.docstring_batch(mods.where("id = 'r::b.py'"), fns).count() == 0
