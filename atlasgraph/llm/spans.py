@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..session import stored
+from .components import connected_components
 
 SPAN = 160
 GRAM = 100
@@ -170,6 +171,14 @@ def sharing_pairs(docs: DataFrame, key: str = "doc_id", column: str = "text", sp
     return across.unionByName(within).select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).distinct()
 
 
+def clusters(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(root, key) of every record in a pair (doc_a, doc_b): root is the smallest record linked with it, directly or through
+    others. Keeping the roots alone leaves no pair."""
+    pairs = stored(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "spans-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    return connected_components(ends, pairs).select("root", F.col("v").alias(key))
+
+
 def shared_parts(docs: DataFrame, key: str = "doc_id", column: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_chars, shared_chars, spans, share) of every record: how much of its text, in stretches of at least
     `span` characters, appears in another record as well. A copied text is shared as a whole; a null or empty

@@ -173,3 +173,9 @@ def test_mixture(spark):
     rep = {r["source"]: r for r in mixing.mixture_report(d, t).collect()}
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-5 and rep["small"]["repeats"] == 4 and rep["absent"]["got"] == 0
     assert mixing.mixture(d.limit(0), t)[0].count() == 0 and mixing.mixture(d, t.limit(0))[0].count() == 0
+
+
+def test_span_clusters(spark):
+    pairs = spark.createDataFrame([(1, 5), (5, 9), (2, 3), (9, 12)], "doc_a long, doc_b long")
+    assert rows(spans.clusters(pairs), "doc_id", "root") == sorted([(1, 1), (5, 1), (9, 1), (12, 1), (2, 2), (3, 2)], key=repr)
+    assert spans.clusters(pairs.limit(0)).count() == 0
