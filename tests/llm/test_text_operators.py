@@ -2,6 +2,7 @@
 
 import ast
 import random
+import time
 import unicodedata
 
 import pytest
@@ -82,6 +83,50 @@ def test_broken_pairs_over_rows(spark):
     assert bp.broken_pairs(df.limit(0)).count() == 0
 
 
+def test_a_reply_is_found_behind_any_preface():
+    assert bp.defect(Q, *bp.read_reply("x y " * 250 + '{"verdict":"","reason":""}'), MODEL) == "empty"
+    assert bp.read_reply('{"verdict":"a","reason":"b."} and then {"verdict":"c","reason":"d."} done') == ("c", "d.", False)
+    assert bp.read_reply("The set {a} is right.") == (None, "The set {a} is right.", False)
+    assert bp.read_reply("so " * 300 + '{"verdict":"correct","reason":"The ans') == ("correct", "The ans", True)
+    assert bp.read_reply('{"a":' * 50_000)[2] and bp.read_reply('{"verdict": ' * 50_000)[2]
+
+
+@pytest.mark.parametrize("question", ["Why?", "run it", "Is it late", "What is run?", "What does run do?", "Is the cursor late?", "哪里？", "Was ist der Rest hier?"])
+def test_copies_of_short_questions(question):
+    assert bp.defect(question, *bp.read_reply(question.upper()), MODEL) == "copied_question"
+    assert not bp.copies(question, "The answer names the right folder, so it holds.")
+
+
+# None of these phrases is taken from the test tables.
+DECLINED = [
+    "I must withhold judgement here.", "I'd rather skip this one.", "Please find someone else to grade this.", "We leave this ungraded.", "Judgement withheld.", "Count me out.", "I am not qualified to assess this.", "It would be better to ask a human reviewer.",
+    "Ich passe hier.", "Bitte fragen Sie jemand anderen.", "我选择弃权。", "请另找专家来评。", "Воздерживаюсь от оценки.", "Обратитесь к другому эксперту.", "Je me récuse.", "Me abstengo de opinar.",
+]
+JUDGED = ["The answer withholds the name and is wrong.", "I find the answer right.", "We see that the claim holds.", "The reply skips the second step.", "The folder rates each row once.", "The answer is right because it names another model.", "Die Antwort nennt den anderen Ordner.", "回答请用户另找文件。"]
+
+
+@pytest.mark.parametrize("text", DECLINED)
+def test_refusals(text):
+    assert bp.refuses(text)
+
+
+@pytest.mark.parametrize("text", JUDGED)
+def test_judgements_are_no_refusals(text):
+    assert not bp.refuses(text)
+
+
+@pytest.mark.parametrize("text, lang", [("Odpowiedź jest błędna, ponieważ nie podaje nazwy.", "pl"), ("Het antwoord is niet juist omdat het geen map noemt.", "nl"), ("Відповідь є правильною, її дає текст", "uk"), ("The answer is in the folder.", "en"), ("Svaret är inte rätt och det är för kort.", "sv")])
+def test_language(text, lang):
+    assert bp.language(text) == lang
+
+
+def test_a_text_of_closing_marks_is_read_once():
+    began = time.time()
+    bp.breaks_off("a" + ")" * 100_000, MODEL)
+    assert bp.context_counts(["a" + ")" * 100_000])[("a)", True)] == 1
+    assert time.time() - began < 1
+
+
 SOURCES = [
     'def f(a, b: int = 3) -> str:\n    """Does a lot of work."""\n    def inner():\n        "Inner words here."\n    return inner\n',
     'class Outer:\n    """Class doc."""\n    async def method(self):\n        # note\n        r"""Raw\n        docs."""\n        class Deep:\n            def leaf(self): "One line."; x = 1\n',
