@@ -2,8 +2,10 @@
 
 A mapping from character sequences to their plain spelling is computed by rule from the Unicode database
 (widths, compatibility forms, Han radicals, accents, spaces, hyphens, invisible characters), checked for
-conflicts, and compiled into a trie that a longest-match pass over grapheme clusters applies. In the same
-pass every word is spelled in the letters of its own language (look-alike letters).
+conflicts together with the look-alike letters, and compiled into a trie that a longest-match pass over grapheme
+clusters applies. Which of a letter's look-alikes is meant depends on the word it stands in, so the pass spells each
+word in the letters of its own language. Respelled letters may compose with a mark behind them; the pass is repeated
+until nothing changes, which takes one further look at almost every text.
 
 Case, punctuation, doubled ordinary spaces, genuine accents, Greek signs and Russian words are left alone.
 Null stays null, an empty text stays empty; text that is all ASCII is plain and never leaves the JVM.
@@ -28,10 +30,16 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "η": "n", "ω": "w", "σ": "o",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J", "ϱ": "p", "ϰ": "k", "ϵ": "e",
+    "ⲟ": "o", "Ⲟ": "O", "ⲣ": "p", "Ⲣ": "P", "ⲥ": "c", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓒ": "d", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+#: Roman numerals of one letter, by rule.
+ROMAN = {chr(p): unicodedata.normalize("NFKC", chr(p)) for p in range(0x2160, 0x2180) if len(unicodedata.normalize("NFKC", chr(p))) == 1}
 # Letters of the table above that only resemble the Latin letter within a word of Latin letters.
-WEAK = set("вкмптгёѐїЁЇεικτυχγηωσαԌ")
+WEAK = set("вкмптгёѐїЁЇεικτυχγηωσαԌϱϰϵ")
 # Han radicals without a decomposition in the Unicode database.
 RADICALS = {"⺠": "民", "⻄": "西", "⻅": "见", "⻆": "角", "⻉": "贝", "⻋": "车", "⻓": "长", "⻔": "门", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙"}
 # Full-width marks that are ordinary in Chinese text.
@@ -83,8 +91,17 @@ def build_mapping() -> dict[str, str]:
     return mapping
 
 
+def build_lookalikes(mapping: dict[str, str]) -> dict[str, str]:
+    """Letter to the Latin letter it looks like; raises if a letter has a plain spelling already or its double isn't plain."""
+    out = LOOKALIKES | ROMAN
+    for k, v in out.items():
+        if k in mapping or v in mapping or any(x in out for x in v) or unicodedata.normalize("NFC", v) != v:
+            raise ValueError(f"{k!r} looks like {v!r}, against the mapping")
+    return out
+
+
 class Transducer:
-    """Longest match over the clusters of a text, then each word in its own letters."""
+    """Longest match over the clusters of a text, each word in its own letters."""
 
     def __init__(self) -> None:
         self.trie: dict = {}
@@ -96,12 +113,13 @@ class Transducer:
             node[None] = value
         single = "".join(regex.escape(k) for k in mapping if len(k) == 1)
         self.suspect = regex.compile(f"[{single}\\p{{M}}]")
-        self.word = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{M}]*")
-        self.foreign = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}ıɑɡɩʏ]")
+        self.to_latin = build_lookalikes(mapping)
+        scripts = r"\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Coptic}\p{Cherokee}\p{Lisu}"
+        self.word = regex.compile(f"[{scripts}][{scripts}\\p{{M}}]*")
+        self.foreign = regex.compile("[" + scripts.removeprefix(r"\p{Latin}") + "".join(c for c in self.to_latin if regex.match(r"\p{Latin}", c)) + "]")
         self.cluster = lru_cache(50_000)(self._cluster)
-        self.to_latin = LOOKALIKES
         self.to_cyrillic = {}
-        for k, v in LOOKALIKES.items():
+        for k, v in self.to_latin.items():
             if "А" <= k <= "я" and k not in WEAK:
                 self.to_cyrillic.setdefault(v, k)
 
@@ -126,9 +144,11 @@ class Transducer:
         done = unicodedata.normalize("NFC", "".join(out))
         return done if done == cluster else self._cluster(done) if done else done
 
-    def _script(self, c: str) -> str:
+    @staticmethod
+    @lru_cache(10_000)
+    def _script(c: str) -> str:
         name = unicodedata.name(c, "")
-        return "L" if name.startswith("LATIN") else "C" if name.startswith("CYRILLIC") else "G" if name.startswith("GREEK") else "O"
+        return "L" if name.startswith(("LATIN", "ROMAN", "SMALL ROMAN")) else "C" if name.startswith("CYRILLIC") else "G" if name.startswith("GREEK") else "O"
 
     def _genuine(self, word: str) -> bool:
         """A word of one foreign script that holds a letter without a Latin double."""
@@ -155,11 +175,11 @@ class Transducer:
         return "".join(self.to_latin.get(c, c) for c in word)
 
     def __call__(self, text: str | None) -> str | None:
-        for _ in range(4):  # letters that were respelled may compose with marks behind them
-            before, text = text, self._once(text)
-            if text == before:
-                break
-        return text
+        seen: list = []
+        while text not in seen:  # were spellings ever to alternate, the smallest of them is the plain one
+            seen.append(text)
+            text = self._once(text)
+        return text if text is None else min(seen[seen.index(text) :])
 
     def _once(self, text: str | None) -> str | None:
         if text is None or text.isascii():

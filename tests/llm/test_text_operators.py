@@ -16,10 +16,11 @@ from atlasgraph.llm import tokens as tk
 
 from ..conftest import rows
 
-PLAIN = ["Why is the cursor late?", "naïve résumé", "谁会调用、同时让索引。", "Где узел и порог?", "Δ-courier auditor", "a  b", "", "Größe über Straße", "ГДЕ ОТЧЁТ", "façade (demo)", "α and β", "好，是吗？"]
+PLAIN = ["Why is the cursor late?", "naïve résumé", "谁会调用、同时让索引。", "Где узел и порог?", "Δ-courier auditor", "a  b", "", "Größe über Straße", "ГДЕ ОТЧЁТ", "façade (demo)", "α and β", "好，是吗？", "Ⅳ. Teil", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ⲧⲁⲥⲡⲉ"]
 ODD = {
     "ｔｈｅ cat": "the cat", "docket mаtcher": "docket matcher", "re\u0301sume\u0301": "résumé", "a\u00a0b": "a b", "zero\u200bwidth": "zerowidth", "soft\u00adhyphen": "softhyphen", "non\u2011breaking": "non-breaking", "停⽌轮转": "停止轮转", "Ноw do": "How do",
     "ріесе of": "piece of", "oνer": "over", "Εndpunkt flache": "Endpunkt flache", "full\u3000space": "full space", "жуpнал и узел": "журнал и узел", "\ufeffstart": "start", "⻔户": "门户", "６９９": "699", "ﬁne": "fine", "𝐛old": "bold", "U\u0308bergang": "Übergang",
+    "Ꮯursor": "Cursor", "ꓚache": "Cache", "fⲟlder": "folder", "aϲcent": "accent", "ⅽursor": "cursor", "ꓢꓡоw": "SLow", "rоle\u0301": "rolé", "ро\u0301ke": "póke",
 }
 
 
@@ -34,7 +35,7 @@ def test_odd_becomes_plain(odd, plain):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abcХоp е́éｅ\u0301\u200b\u00a0-‑Δν止⽌ü\u0308 ж", max_size=20))
+@given(st.text(alphabet="abcⅽꓚᏟᎠХоp е́éｅ\u0301\u200b\u00a0-‑Δν止⽌ü\u0308 ж", max_size=20))
 def test_plain_form_is_stable(text):
     t = pf.transducer()
     once = t(text)
@@ -47,6 +48,12 @@ def test_mapping_is_checked_for_conflicts(monkeypatch):
         pf.build_mapping()
 
 
+def test_lookalikes_are_checked_against_the_mapping(monkeypatch):
+    monkeypatch.setattr(pf, "LOOKALIKES", pf.LOOKALIKES | {"ｘ": "x"})
+    with pytest.raises(ValueError):
+        pf.build_lookalikes(pf.build_mapping())
+
+
 def test_not_plain_rows(spark):
     df = spark.createDataFrame([("1", "ｔhe", "x"), ("1", "ｔhe", "y"), ("2", None, "x"), ("3", "", "x"), ("4", "plain", "x"), ("5", "é" * 200_000 + "\u200b", "x")], "id string, name string, plain string")
     assert rows(pf.not_plain(df, "t", "id", "name"), "table_name", "record_key") == [("t", "1"), ("t", "5")]
