@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 _TYPES = {"file_id": T.LongType(), "seq": T.IntegerType(), "delta": T.IntegerType(), "line": T.IntegerType()}
 ROWS = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in ("file_id", "unit", "seq", "delta", "kind", "name", "signature", "doc", "line")])
 _SKIP = {tokenize.COMMENT, tokenize.NL, tokenize.ENCODING, tokenize.ENDMARKER}
@@ -129,6 +131,8 @@ def documented_functions(files: DataFrame) -> DataFrame:
     above = F.lag(F.struct("kind", "name", "signature", "seq", "depth", "line")).over(w)
     opens = (F.lead("depth").over(w) > F.col("depth")).alias("opens")
     marked = rows.select(*unit, "seq", "depth", "kind", "name", "doc", above.alias("above"), opens)
+    # Three branches read these rows, so the files are lexed once and the rows that matter are kept.
+    marked = stored(marked.where("opens or kind = 'string' and above.kind = 'def'"), "docpairs-rows")
     docs = marked.where("kind = 'string' and above.kind = 'def' and depth = above.depth + 1").select(*unit, F.col("above.seq").alias("seq"), F.col("above.depth").alias("depth"), F.col("above.name").alias("name"), F.col("above.signature").alias("signature"), F.col("above.line").alias("line"), F.col("doc").alias("docstring"))
     # Probes ask, for each smaller depth, for the last row there that opens a block: the enclosing statement.
     both = marked.where("opens").select(*unit, "depth", "seq", F.lit(None).cast("int").alias("asks"), F.struct("kind", "name").alias("scope"))
