@@ -17,8 +17,10 @@ import re
 import tokenize
 import unicodedata
 import warnings
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,14 +161,18 @@ _FIELDS = "args arguments parameters params returns return yields yield raises r
 _TAG = re.compile(r"^\s*[:@]\s*\w+[^:]*:?\s*$")
 _RULE = re.compile(r"^\s*[-=~*_]{2,}\s*$")
 _EMPTY_ITEM = re.compile(r"^\s*[*-]?\s*[`*]*\w+[`]*\s*(\([^)]*\))?\s*(:|：|--|-)\s*$")
+_FORMAT = regex.compile(r"\p{Cf}")
 _FILLERS = {"the", "a", "an", "this", "that", "function", "method", "for", "of", "to", "and", "it", "implementation", "helper", "implements", "calls", "call"}
 
 
+_HUMP, _WORD = re.compile(r"(?<=[a-z0-9])(?=[A-Z][a-z])"), re.compile(r"[^\W_]+")
+
+
 def _words(text: str) -> list[str]:
-    text = re.sub(r"(?<=[a-z0-9])(?=[A-Z][a-z])", " ", text)
-    return re.findall(r"[^\W_]+", text.lower())
+    return _WORD.findall(_HUMP.sub(" ", text).lower())
 
 
+@lru_cache(50_000)
 def _stem(word: str) -> str:
     for end, back in (("ies", "y"), ("ing", ""), ("es", ""), ("ed", ""), ("s", ""), ("e", "")):
         if word.endswith(end) and len(word) > len(end) + 2:
@@ -179,11 +185,14 @@ def is_trivial(docstring: str | None, qualname: str | None) -> bool:
     """No useful documentation: blank, a bare placeholder, the function's own name, empty field tags, or these together."""
     if docstring is None:
         return True
-    text = "".join(c for c in unicodedata.normalize("NFKC", docstring) if unicodedata.category(c) != "Cf")
+    text = docstring if docstring.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", docstring))
     kept = []
     for row in text.splitlines():
         bare = row.strip()
-        field = _words(bare)
+        if not bare:
+            continue
+        begin = _WORD.search(bare)
+        field = _words(bare) if begin and _words(begin[0])[0] in _FIELDS else []
         if _RULE.match(row) or bare.startswith((":", "@")) and _TAG.match(row) or _EMPTY_ITEM.match(row):
             continue
         if field and bare[-1:] in ":：" and all(w in _FIELDS for w in field) or len(field) == 1 and field[0] in _FIELDS:
