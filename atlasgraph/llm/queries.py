@@ -77,10 +77,14 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.clusters(spans.sharing_pairs(table(spark, sf_dir, "documents")))
+    return spans.clusters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared, p10_clusters)}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared, p10_clusters, p10_classes)}
 
 _COMPONENTS = r"""
 with recursive labels as (

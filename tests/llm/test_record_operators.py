@@ -175,7 +175,12 @@ def test_mixture(spark):
     assert mixing.mixture(d.limit(0), t)[0].count() == 0 and mixing.mixture(d, t.limit(0))[0].count() == 0
 
 
-def test_span_clusters(spark):
-    pairs = spark.createDataFrame([(1, 5), (5, 9), (2, 3), (9, 12)], "doc_a long, doc_b long")
-    assert rows(spans.clusters(pairs), "doc_id", "root") == sorted([(1, 1), (5, 1), (9, 1), (12, 1), (2, 2), (3, 2)], key=repr)
-    assert spans.clusters(pairs.limit(0)).count() == 0
+def test_span_clusters_and_classes(spark):
+    one, two, three = (c * 3 + "".join(random.Random(i).choice("abcdefgh") for _ in range(200)) for i, c in enumerate("xyz"))
+    docs = [(5, one), (1, one[:170]), (9, one[20:] + two), (12, two), (2, three), (3, three), (3, three), (4, "short"), (6, None), (7, "q" * 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as root", "2 as t", "3 as label")
+    assert rows(spans.clusters(df), "doc_id", "root") == sorted([(1, 1), (5, 1), (9, 1), (12, 1), (2, 2), (3, 2)], key=repr)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in spans.sharing_classes(df).collect()}
+    pairs = {tuple(r) for r in spans.sharing_pairs(df).collect()}
+    assert got == {i: (2 if i == 3 else i, sum(i in p for p in pairs)) for i in (1, 2, 3, 5, 7, 9, 12)} and pairs
+    assert spans.clusters(df.limit(0)).count() == 0 and spans.sharing_classes(df.limit(0)).count() == 0
