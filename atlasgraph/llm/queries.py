@@ -32,8 +32,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = splits.overlaps(table(spark, sf_dir, "dataset"))
-    return pairs.groupBy("split", "source").agg(F.count_distinct("train_id", "eval_id").alias("pairs"), F.count_distinct("eval_id").alias("records"))
+    return splits.overlap_report(table(spark, sf_dir, "dataset"))
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.linked_records(table(spark, sf_dir, "dataset"))
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,7 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.sharing_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_plain, p5_found, p5_report, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared, p10_clusters, p10_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_plain, p5_found, p5_report, p5_links, p6_found, p6_groups, p7_found, p7_pairs, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_shared, p10_clusters, p10_classes)}
 
 _COMPONENTS = r"""
 with recursive labels as (

@@ -52,7 +52,7 @@ def band_keys(text: str) -> np.ndarray:
     mins = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for part in np.array_split(h, max(1, len(h) // 4096)):  # a very long text in slices
         if len(part):
-            np.minimum(mins, (_mix(part[:, None] * _A + _B)).min(axis=0), out=mins)
+            np.minimum(mins, (part[:, None] * _A + _B).min(axis=0), out=mins)  # of mixed values, so multiply and add is enough
     key = np.zeros(BANDS, np.uint64)
     for i in range(ROWS):
         key = _mix(key * np.uint64(31) + mins[i::ROWS])
@@ -112,3 +112,24 @@ def overlaps(records: DataFrame, **options) -> DataFrame:
     train = r.where("side = 'train'").select(F.col("class_id").alias("train_class"), F.col("id").alias("train_id")).distinct()
     ev = r.where("side = 'eval'").select(F.col("class_id").alias("eval_class"), F.col("id").alias("eval_id"), "split", "source").distinct()
     return pairs.join(train, "train_class").join(ev, "eval_class").where("train_id <> eval_id").select("train_id", "eval_id", "split", "source", "distance", "jaccard")
+
+
+def linked_records(records: DataFrame, **options) -> DataFrame:
+    """(side, id, split, source, class_id, links) of every record with a text: the class of its text, and with how many records
+    of the other side it overlaps. Classes are counted, their copies never paired; an id with several texts has a row for each."""
+    members, r = classes(records)
+    pairs = stored(overlapping_classes(members, **options).select("train_class", "eval_class"), "splits-pairs")
+    r = r.distinct()
+    size = lambda side, c: r.where(F.col("side") == side).select("class_id", "id").distinct().groupBy(F.col("class_id").alias(c)).agg(F.count("*").alias("n"))
+    of_eval = pairs.join(size("train", "train_class"), "train_class").groupBy(F.lit("eval").alias("side"), F.col("eval_class").alias("class_id")).agg(F.sum("n").alias("others"))
+    of_train = pairs.join(size("eval", "eval_class"), "eval_class").groupBy(F.lit("train").alias("side"), F.col("train_class").alias("class_id")).agg(F.sum("n").alias("others"))
+    # An id on both sides doesn't overlap with itself.
+    both = r.groupBy("class_id", "id").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("class_id", "id", F.lit(1).alias("itself"))
+    out = r.join(of_eval.unionByName(of_train), ["side", "class_id"], "left").join(both, ["class_id", "id"], "left")
+    return out.select("side", "id", "split", "source", "class_id", (F.coalesce("others", F.lit(0)) - F.coalesce("itself", F.lit(0))).alias("links"))
+
+
+def overlap_report(records: DataFrame, **options) -> DataFrame:
+    """(split, source, pairs, records): overlapping pairs and evaluation records with any, from the classes' sizes."""
+    links = linked_records(records, **options).where("side = 'eval' and links > 0")
+    return links.groupBy("split", "source").agg(F.sum("links").alias("pairs"), F.count_distinct("id").alias("records"))

@@ -88,7 +88,14 @@ def test_split_overlaps_against_all_pairs(spark):
                 a, b = bare(t), bare(e)
                 if distance(a, b) <= int(0.1 * max(len(a), len(b))):
                     want.add((ti, ei))
-    assert got <= want and len(want) > 25 and len(want - got) <= 1
+    assert got == want and len(want) > 25
+    texts = {i: [t for j, _, _, t in recs if j == i] for i, *_ in recs}
+    for r in splits.linked_records(df).collect():
+        if len(texts[r["id"]]) == 1:
+            assert r["links"] == sum(p[r["side"] == "eval"] == r["id"] for p in want)
+    report = splits.overlap_report(df)
+    assert {r["split"]: r["records"] for r in report.groupBy("split").agg({"records": "sum"}).withColumnRenamed("sum(records)", "records").collect()}["PP"] == len({e for _, e in want if e in ("E900", "E901")})
+    assert report.agg({"pairs": "sum"}).first()[0] >= len(want) and splits.overlap_report(df.limit(0)).count() == 0
     assert ("T0", "E900") in got and ("T1", "E901") in got
     assert splits.overlaps(df.limit(0)).count() == 0
 
