@@ -7,11 +7,15 @@ block counts by source (a multivariate hypergeometric draw) what goes to its lef
 consecutive stretches of each source's permuted blocks, so the shards are disjoint, and rows are shuffled
 within their shard.
 
-Only block sums reach the driver: at most (listed sources) x BLOCKS rows, whatever the corpus's size.
+Blocks and shards follow the corpus's size (layout) or are given. Only block sums reach the driver: (listed sources)
+x blocks rows, and as blocks grow with the square root of the tokens, both their number and the block that a task has to sort
+stay small: 25 million million tokens make 50,000 blocks of 500 million tokens a source.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +23,13 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .tokens import NAME, TOKENIZERS, count_tokens
 
-BLOCKS = 256
-SHARDS = 64
+LEAST_BLOCKS, LEAST_SHARDS = 256, 64
+TOKENS_PER_SHARD = 200_000_000
+
+
+def layout(tokens: int) -> tuple[int, int]:
+    """(blocks a source, output shards) for a mixture of so many tokens."""
+    return max(LEAST_BLOCKS, isqrt(tokens) // 100), max(LEAST_SHARDS, -(-tokens // TOKENS_PER_SHARD))
 
 
 def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -53,17 +62,21 @@ def _quotas(sizes: dict[str, int], targets: list, total: int | None) -> list[dic
 
 
 def sized(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """(doc_id, source, block, place, n_tokens) of the documents of listed sources, written once.
+    """(doc_id, source, place, n_tokens) of the documents of listed sources, written once.
 
     Documents without a source or of an unlisted one, and texts without tokens, add nothing to a mixture.
     """
     listed = F.broadcast(targets.where("source is not null").select("source").distinct())  # the configuration, not data
     d = documents.where("text is not null and source is not null").select("doc_id", "source", "text").join(listed, "source", "left_semi")
     n = count_tokens(d, folder=folder, name=name).where("n_tokens > 0")
-    return stored(n.select("doc_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS)).cast("int").alias("block"), F.xxhash64("doc_id", F.lit("place")).alias("place"), "n_tokens"), "mix-sized")
+    return stored(n.select("doc_id", "source", F.xxhash64("doc_id", F.lit("place")).alias("place"), "n_tokens"), "mix-sized")
+
+
+def _in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
 
-def _plan(docs: DataFrame, targets: DataFrame, total: int | None, seed: int):
+def _plan(docs: DataFrame, targets: DataFrame, total: int | None, seed: int, shards: int):
     target_rows = sorted((r.asDict() for r in targets.where("source is not null").distinct().collect()), key=lambda r: r["source"])
     sums: dict[str, dict[int, int]] = {}
     for r in docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
@@ -83,30 +96,33 @@ def _plan(docs: DataFrame, targets: DataFrame, total: int | None, seed: int):
                     break
             turn += 1
         draws.append(mine)
-    counts = split_tree(np.array([len(d) for d in draws], np.int64), SHARDS, seed)
+    counts = split_tree(np.array([len(d) for d in draws], np.int64), shards, seed)
     at = np.zeros(len(draws), np.int64)
     rows = []
-    for shard in range(SHARDS):
+    for shard in range(shards):
         for i, mine in enumerate(draws):
             rows += [(quotas[i]["source"], b, turn, shard, int(limit)) for b, turn, limit in mine[at[i] : at[i] + counts[shard, i]]]
             at[i] += counts[shard, i]
     return quotas, rows
 
 
-def mixture(documents: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 0, folder: str = TOKENIZERS, name: str = NAME, docs: DataFrame | None = None) -> tuple[DataFrame, list[dict]]:
+def mixture(documents: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 0, folder: str = TOKENIZERS, name: str = NAME, docs: DataFrame | None = None, blocks: int | None = None, shards: int | None = None) -> tuple[DataFrame, list[dict]]:
     """The mixture, a row per use of a document: shard, place (the order within the shard), doc_id, source, copy, n_tokens; and the quotas.
 
     total is the mixture's intended size in tokens, by default all tokens of the listed sources. Of the block in
     which a quota ends documents are taken in their hash order as long as they fit, so a source misses its quota by
-    less than one document's tokens.
+    less than one document's tokens. blocks and shards are those of layout() unless given.
     """
     spark = documents.sparkSession
     docs = sized(documents, targets, folder=folder, name=name) if docs is None else docs
-    quotas, rows = _plan(docs, targets, total, seed)
+    fit = layout(docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] if total is None else total)
+    shards = shards or fit[1]
+    docs = _in_blocks(docs, blocks or fit[0])
+    quotas, rows = _plan(docs, targets, total, seed, shards)
     shape = "source string, block int, turn int, shard int, room long"
-    plan = F.broadcast(spark.createDataFrame(rows or [("", -1, 0, 0, 0)], shape))  # (listed sources) x BLOCKS x repeats rows
+    plan = F.broadcast(spark.createDataFrame(rows or [("", -1, 0, 0, 0)], shape))  # (listed sources) x blocks x repeats rows
     size = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    # Only blocks in which a quota ends need running sums; a block is a BLOCKS-th of its source.
+    # Only blocks in which a quota ends need running sums, one block a source.
     used = docs.join(plan, ["source", "block"])
     cut = F.broadcast(spark.createDataFrame(rows or [("", -1, 0, 0, 0)], shape).join(size, ["source", "block"]).where("room < size").select("source", "block", "turn"))
     whole = used.join(cut, ["source", "block", "turn"], "left_anti")
@@ -116,7 +132,7 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total: int | None = Non
     part = used.join(cut, ["source", "block", "turn"], "left_semi").withColumn("sum", F.sum("n_tokens").over(w)).where("sum <= room").drop("sum")
     out = whole.unionByName(part.select(whole.columns))
     out = out.select("shard", F.xxhash64("doc_id", "turn", F.lit(seed)).alias("place"), "doc_id", "source", F.col("turn").alias("copy"), "n_tokens")
-    return out.repartition("shard").sortWithinPartitions("shard", "place"), quotas
+    return out.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place"), quotas
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:

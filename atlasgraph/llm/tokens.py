@@ -1,6 +1,6 @@
 """Encoding of a corpus with a public tokenizer, with offsets, and decoding.
 
-The tokenizer file is opened once per worker; texts arrive as Arrow batches and the ids leave as Arrow lists,
+The driver ships the tokenizer's file with the job, so only the driver must have it; it is opened once per worker. Texts arrive as Arrow batches and the ids leave as Arrow lists,
 so no Python list per row crosses the border. An empty and a null text both give an empty list.
 """
 
@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -22,12 +23,18 @@ NAME = "byte_bpe_50k"
 SLICE_CHARS = 1_000_000
 
 
+def _ship(df: DataFrame, folder: str, name: str) -> None:
+    """Send the file to all executors; one that is sent already isn't sent again."""
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}.json")
+
+
 @lru_cache(4)
 def tokenizer(folder: str, name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{folder}/{name}.json")
+    here = f"{folder}/{name}.json"
+    t = Tokenizer.from_file(here if os.path.exists(here) else SparkFiles.get(f"{name}.json"))
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     t.no_truncation()
     t.no_padding()
@@ -74,6 +81,7 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", *, folder:
     Where a character is split over several tokens, all of them carry that character's span. Repeated rows
     stay repeated; other columns are ignored.
     """
+    _ship(df, folder, name)
     shape = T.StructType([df.schema[key]] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ["ids"] + ["starts", "ends"] * offsets])
 
     def run(batches):
@@ -93,6 +101,7 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", *, folder:
 
 def count_tokens(df: DataFrame, column: str = "text", out: str = "n_tokens", *, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
     """df without the text but with its number of tokens; a null or empty text has none."""
+    _ship(df, folder, name)
     keep = [f for f in df.schema.fields if f.name != column]
     shape = T.StructType(keep + [T.StructField(out, T.LongType())])
 
@@ -114,6 +123,7 @@ def _pieces(folder: str, name: str) -> list[bytes]:
 def decode(df: DataFrame, key: str = "doc_id", column: str = "ids", *, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
     """(key, text) of token ids: the byte table reversed. Bytes that are no whole character (a list cut within
     one) become U+FFFD. A null list gives null, an empty list an empty text."""
+    _ship(df, folder, name)
     shape = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
 
     def run(batches):

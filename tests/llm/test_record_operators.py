@@ -63,6 +63,12 @@ def distance(a, b):
     return row[-1]
 
 
+def test_layout_of_a_mixture():
+    assert mixing.layout(0) == (256, 64) and mixing.layout(10**6) == (256, 64)
+    blocks, shards = mixing.layout(25 * 10**12)
+    assert blocks == 50_000 and shards == 125_000 and mixing.layout(4 * 25 * 10**12)[0] == 2 * blocks
+
+
 def test_split_overlaps_against_all_pairs(spark):
     rng = random.Random(11)
     words = "cursor ledger harbor funnel pallet roster beacon shard lexicon digest symbol anchor".split()
@@ -179,6 +185,8 @@ def test_mixture(spark):
     assert size["big"]["quota"] - 30 < got["big"] <= size["big"]["quota"] and size["absent"]["available"] == 0
     rep = {r["source"]: r for r in mixing.mixture_report(d, t).collect()}
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-5 and rep["small"]["repeats"] == 4 and rep["absent"]["got"] == 0
+    few, again = mixing.mixture(d, t, blocks=5, shards=3)
+    assert {r["shard"] for r in few.collect()} <= {0, 1, 2} and [q["quota"] for q in again] == [q["quota"] for q in quotas]
     assert mixing.mixture(d.limit(0), t)[0].count() == 0 and mixing.mixture(d, t.limit(0))[0].count() == 0
 
 
