@@ -1,14 +1,18 @@
 """Impact: symbol resolution, bounded reverse closures over calls or imports, all-sources closures.
 
-Levels are unrolled joins with a distinct frontier per hop; a node's level is its smallest hop, so cycles end by
-themselves and the frontiers' exchanges are reused instead of computed twice. The hop count is bounded by 4.
+A closure goes by numbers instead of names and hop by hop: each frontier is joined with the edges, made distinct, and
+freed of what was reached before, so a cycle or a hub is expanded once per seed. Frontiers are written to the shared
+folder, an empty one ends the closure. The hop count is bounded by 4.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .graph import Graph, by_label, by_type, reverse
 
 DEPTHS = (1, 2, 3, 4)
@@ -42,17 +46,61 @@ def resolve_symbols(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     return best.select("symbol", status.alias("status"), F.when(F.size("c") == 1, F.col("c")[0]).alias("id"), F.when(F.size("c") > 1, F.col("c")).alias("candidates"))
 
 
-def bfs_levels(seeds: DataFrame, rev: DataFrame, depth: int) -> DataFrame:
-    """(seed, node, level) of all nodes that reach the seed's nodes in at most depth hops; seeds have level 0.
+@dataclass
+class Closure:
+    """levels (seed, node, level) and edges (node, pred) in numbers, names (n, name) for them."""
+
+    levels: DataFrame
+    edges: DataFrame
+    names: DataFrame
+
+    def numbered(self, df: DataFrame, *columns: str) -> DataFrame:
+        """df with these columns' names as numbers; rows with a name that the closure doesn't know are dropped."""
+        for c in columns:
+            df = df.join(self.names.select(F.col("name").alias(c), F.col("n").alias(f"{c}#")), c).drop(c).withColumnRenamed(f"{c}#", c)
+        return df
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(self.names.select(F.col("n").alias(c), F.col("name").alias(f"{c}#")), c).drop(c).withColumnRenamed(f"{c}#", c)
+        return df
+
+
+def closure(seeds: DataFrame, rev: DataFrame, depth: int) -> Closure:
+    """All nodes that reach the seeds' nodes in at most depth hops with their smallest hop; seeds have level 0.
 
     seeds has seed and node, rev has node and pred.
     """
-    hop = seeds.select("seed", "node").distinct()
-    levels = hop.withColumn("level", F.lit(0))
+    names = [df.select(F.col(c).alias("name")) for df, c in ((seeds, "seed"), (seeds, "node"), (rev, "node"), (rev, "pred"))]
+    every = names[0].unionByName(names[1]).unionByName(names[2]).unionByName(names[3]).distinct()
+    out = Closure(None, None, stored(every.withColumn("n", F.monotonically_increasing_id()), "closure-names"))
+    out.edges = stored(out.numbered(rev.select("node", "pred"), "node", "pred").distinct(), "closure-edges")
+    new = stored(out.numbered(seeds.select("seed", "node"), "seed", "node").distinct().withColumn("level", F.lit(0)), "closure-level")
+    out.levels = new
     for d in range(1, depth + 1):
-        hop = hop.join(rev, "node").select("seed", F.col("pred").alias("node")).distinct()
-        levels = levels.unionByName(hop.withColumn("level", F.lit(d)))
-    return levels.groupBy("seed", "node").agg(F.min("level").alias("level"))
+        step = new.join(out.edges, "node").select("seed", F.col("pred").alias("node")).distinct()
+        new = stored(step.join(out.levels.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("level", F.lit(d)), "closure-level")
+        if new.isEmpty():
+            break
+        out.levels = out.levels.unionByName(new)
+    return out
+
+
+def bfs_levels(seeds: DataFrame, rev: DataFrame, depth: int) -> DataFrame:
+    """The closure's (seed, node, level) by name."""
+    c = closure(seeds, rev, depth)
+    return c.named(c.levels, "seed", "node").select("seed", "node", "level")
+
+
+def level_sizes(seeds: DataFrame, rev: DataFrame, depth: int) -> DataFrame:
+    """(seed, level, nodes): how many nodes the closure has by level; names are looked up for these rows only."""
+    c = closure(seeds, rev, depth)
+    return c.named(c.levels.groupBy("seed", "level").agg(F.count("*").alias("nodes")), "seed").select("seed", "level", "nodes")
+
+
+def cut_short(c: Closure, depth: int) -> DataFrame:
+    """(seed, truncated) by name of the closure's seeds that have more nodes beyond the depth."""
+    return c.named(truncated(c.levels, c.edges, depth), "seed").select("seed", "truncated")
 
 
 def truncated(levels: DataFrame, rev: DataFrame, depth: int) -> DataFrame:
@@ -96,7 +144,8 @@ def impact(graph: Graph, targets: DataFrame, depth: int = 3, mode: str = "calls"
     ends = by_label(graph.nodes, "Function").where("is_endpoint").select("id")
     if mode == "calls":
         rev = reverse(graph.edges, "CALLS")
-        levels = bfs_levels(targets.select(F.col("id").alias("seed"), F.col("id").alias("node")), rev, depth)
+        c = closure(targets.select(F.col("id").alias("seed"), F.col("id").alias("node")), rev, depth)
+        levels = stored(c.named(c.levels, "seed", "node").select("seed", "node", "level"), "impact-levels")
         at = levels.withColumnRenamed("node", "id")
         endpoints = at.join(ends, "id", "left_semi").groupBy("seed").agg(ordered("id", "affected_endpoints"))
         known = at.join(graph.nodes.select("id"), "id", "left_semi")
@@ -104,10 +153,11 @@ def impact(graph: Graph, targets: DataFrame, depth: int = 3, mode: str = "calls"
     else:
         rev = reverse(graph.edges, "IMPORTS")
         seeds = targets.select(F.col("id").alias("seed"), "id").join(home, "id").select("seed", F.col("module").alias("node"))
-        levels = bfs_levels(seeds, rev, depth)
+        c = closure(seeds, rev, depth)
+        levels = stored(c.named(c.levels, "seed", "node").select("seed", "node", "level"), "impact-levels")
         modules = levels.groupBy("seed").agg(ordered("node", "affected_modules"))
         endpoints = levels.join(home.withColumnRenamed("module", "node"), "node").join(ends, "id", "left_semi").groupBy("seed").agg(ordered("id", "affected_endpoints"))
-    return _row(levels, endpoints, modules, truncated(levels, rev, depth), depth, mode)
+    return _row(levels, endpoints, modules, cut_short(c, depth), depth, mode)
 
 
 def impact_analysis(graph: Graph, symbol: str, depth: int = 3, mode: str = "calls") -> dict:
@@ -127,20 +177,20 @@ def blast_radius(graph: Graph, depth: int = 3) -> DataFrame:
     """(id, blast_radius, blast_endpoints) of every function: its reverse call closure without itself."""
     fn = by_label(graph.nodes, "Function").select("id", "is_endpoint")
     rev = reverse(graph.edges, "CALLS")
-    levels = bfs_levels(fn.select(F.col("id").alias("seed"), F.col("id").alias("node")), rev, depth).where("seed <> node")
-    ends = fn.where("is_endpoint").select(F.col("id").alias("node"), F.lit(1).alias("e"))
-    size = levels.join(ends, "node", "left").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("blast_radius"), F.count("e").alias("blast_endpoints"))
+    c = closure(fn.select(F.col("id").alias("seed"), F.col("id").alias("node")), rev, depth)
+    ends = c.numbered(fn.where("is_endpoint").select(F.col("id").alias("node"), F.lit(1).alias("e")), "node")
+    size = c.levels.where("seed <> node").join(ends, "node", "left").groupBy("seed").agg(F.count("*").alias("blast_radius"), F.count("e").alias("blast_endpoints"))
+    size = c.named(size, "seed").withColumnRenamed("seed", "id")
     return fn.select("id").join(size, "id", "left").select("id", F.coalesce("blast_radius", F.lit(0)).alias("blast_radius"), F.coalesce("blast_endpoints", F.lit(0)).alias("blast_endpoints"))
 
 
 def caller_pattern(graph: Graph, targets: DataFrame, hops: int = 3) -> DataFrame:
     """(id, callers): of each target all that call it over one to so many CALLS, itself included where it lies on a cycle."""
     rev = reverse(graph.edges, "CALLS")
-    hop = targets.select("id", F.col("id").alias("node")).distinct()
-    found = hop.where("false")
-    for _ in range(hops):
-        hop = hop.join(rev, "node").select("id", F.col("pred").alias("node")).distinct()
-        found = found.unionByName(hop)
+    # The callers' closures, and the target itself if one of its closure's inner nodes calls it back, or it itself.
+    c = closure(targets.select(F.col("id").alias("seed"), F.col("id").alias("node")), rev, hops)
+    back = c.levels.where(F.col("level") < hops).join(c.edges, "node").where("pred = seed").select("seed", F.col("seed").alias("node")).distinct()
+    found = c.named(c.levels.where("level > 0").select("seed", "node").unionByName(back), "seed", "node").withColumnRenamed("seed", "id")
     callers = found.groupBy("id").agg(F.sort_array(F.collect_set("node")).alias("callers"))
     return targets.select("id").distinct().join(callers, "id", "left").select("id", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
 

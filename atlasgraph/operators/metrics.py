@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .graph import Graph, by_label, by_type, forward
 from .impact import blast_radius
 
@@ -48,8 +48,9 @@ def pagerank(graph: Graph, etype: str = "CALLS", label: str = "Function", *, rou
     number of rounds. Mass of nodes without out-edges is spread evenly. The ranks sum to 1.
 
     A round is one join and one aggregation over the edges; every few rounds the ranks are written to the shared
-    folder, which cuts the plan and is where the change is measured. Without a fixed number of rounds that is every
-    round, so the first one below the tolerance is the last.
+    folder, which cuts the plan, and the round before is dropped there. Without a fixed number of rounds that is every
+    round, new ranks beside the old ones, so the change is measured on what was written and the first round below the
+    tolerance is the last.
     """
     every = 1 if rounds is None else every
     edges = stored(forward(graph, etype, label), "pagerank-edges")
@@ -63,18 +64,17 @@ def pagerank(graph: Graph, etype: str = "CALLS", label: str = "Function", *, rou
     limit = MAX_ROUNDS if rounds is None else rounds
     done = 0
     while done < limit:
-        before = rank
+        last = rank
         step = min(every, limit - done)
         for _ in range(step):
             loose = rank.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
             push = edges.join(rank.where("deg > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("deg")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
-            rank = base.join(push, "id", "left").crossJoin(F.broadcast(loose)).select("id", "deg", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
+            rank = rank.join(push, "id", "left").crossJoin(F.broadcast(loose)).select("id", "deg", F.col("rank").alias("old"), ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         done += step
         rank = stored(rank, "pagerank")
-        if rounds is None:
-            moved = rank.join(before.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if moved < TOLERANCE:
-                break
+        discard(last)
+        if rounds is None and rank.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < TOLERANCE:
+            break
     return rank.select("id", "rank")
 
 

@@ -111,14 +111,14 @@ levels as (select seed, node, min(level) as level from reach group by seed, node
 @query("t1_bfs_levels", _REACH + "select seed, level, count(*) as nodes from levels group by seed, level")
 def _(G, spark, d):
     seeds = by_label(G.nodes, "Function").select(F.col("id").alias("seed"), F.col("id").alias("node"))
-    return im.bfs_levels(seeds, g.reverse(G.edges, "CALLS"), 3).groupBy("seed", "level").agg(F.count("*").alias("nodes"))
+    return im.level_sizes(seeds, g.reverse(G.edges, "CALLS"), 3)
 
 
 @query("t1_truncated", _REACH + "select distinct l.seed, true as truncated from levels l join calls c on c.node = l.node where l.level = 3 and not exists (select 1 from levels m where m.seed = l.seed and m.node = c.pred)")
 def _(G, spark, d):
     rev = g.reverse(G.edges, "CALLS")
     seeds = by_label(G.nodes, "Function").select(F.col("id").alias("seed"), F.col("id").alias("node"))
-    return im.truncated(im.bfs_levels(seeds, rev, 3), rev, 3)
+    return im.cut_short(im.closure(seeds, rev, 3), 3)
 
 
 def _joined(df, *cols):

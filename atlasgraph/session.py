@@ -60,7 +60,19 @@ def stored(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads, such as a loop's last round; others are left alone."""
+    for df in tables:
+        at = df.__dict__.pop("stored_at", None)
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN.remove(at)
 
 
 def ntz_micros(c: Column | str) -> Column:
