@@ -45,11 +45,24 @@ def node_documents(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "label", name.alias("name"), text.alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
 
 
-def build_index(documents: DataFrame, persist: bool = True) -> Index:
-    """Index of (id, text). A document without terms isn't part of the corpus; repeated terms count."""
-    tf = documents.where("text is not null").select("id", F.explode(zh_terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    tf = stored(tf, "bm25-tf") if persist else tf
-    docs = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
+def build_index(documents: DataFrame, persist: bool = True, wanted: DataFrame | None = None) -> Index:
+    """Index of (id, text). A document without terms isn't part of the corpus; repeated terms count.
+
+    With wanted (term) only these terms get postings: a batch of questions then shuffles its own terms instead of all of
+    the corpus's, and lengths and statistics are still those of all documents. One pass over the texts serves both, as a
+    document's length travels as a row with an empty term, which no text has.
+    """
+    terms = documents.where("text is not null").select("id", zh_terms(F.col("text")).alias("terms")).where("size(terms) > 0")
+    if wanted is None:
+        tf = terms.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        tf = stored(tf, "bm25-tf") if persist else tf
+        docs = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
+    else:
+        each = terms.select("id", F.size("terms").cast("long").alias("dl"), F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+        some = wanted.select("term").unionByName(documents.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        rows = stored(each.join(some, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "bm25-tf")
+        docs = rows.where("term = ''").select("id", "dl")
+        tf = rows.where("term <> ''").select("id", "term", "tf")
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # A posting's share of the score depends on the corpus alone, so it is worked out once.
@@ -60,6 +73,11 @@ def build_index(documents: DataFrame, persist: bool = True) -> Index:
     return Index(stored(postings, "bm25-postings") if persist else postings, df, docs, stats)
 
 
+def search(documents: DataFrame, questions: DataFrame, k: int = TOP, min_score: float = MIN_SCORE, key: str = "qid") -> DataFrame:
+    """topic_recall of one batch of questions over documents (id, text) that have no index yet."""
+    return topic_recall(build_index(documents, wanted=query_terms(questions, key)), questions, k, min_score, key)
+
+
 def query_terms(questions: DataFrame, key: str = "qid", question: str = "question") -> DataFrame:
     """(key, term): distinct terms of each question without stop words."""
     return questions.select(key, F.explode(F.array_distinct(drop_stop_words(zh_terms(F.col(question))))).alias("term"))

@@ -67,8 +67,9 @@ def entrypoints(graph: Graph) -> DataFrame:
 
 
 def repo_card(graph: Graph) -> DataFrame:
-    """One row: the counts by label, the overview's lists as arrays of structs, and all entry points (endpoints)."""
-    stats = graph.nodes.groupBy().agg(*[F.count(F.when(F.col("label") == x, 1)).alias(f"n_{x.lower()}") for x in ("Module", "Class", "Function", "Commit", "Issue", "Concept")])
+    """One row: the repositories, the counts by label, the overview's lists as arrays of structs, and all entry points (endpoints)."""
+    repos = F.array_join(F.sort_array(F.collect_set(_optional(graph.nodes, "repo"))), ", ").alias("repo")
+    stats = graph.nodes.groupBy().agg(repos, *[F.count(F.when(F.col("label") == x, 1)).alias(f"n_{x.lower()}") for x in ("Module", "Class", "Function", "Commit", "Issue", "Concept")])
     rows = overview_rows(graph)
     lists = rows.groupBy().agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("n")).alias("k"), F.col("name"))))), lambda x: F.struct(x["name"].alias("name"), (-x["k"]).alias("n"))).alias(s) for s in ("modules", "hot", "concepts")])
     ends = entrypoints(graph).groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "qualname", "http_method", "route_path"))).alias("entrypoints"))

@@ -19,10 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ntz_micros
+from ..session import ntz_micros, stored
 
-#: Upper bound of ranges; the number of references by range is gathered to the driver, so at most this many rows.
-MAX_RANGES = 4096
+LEAST_RANGES = 16
 PARENTS_PER_RANGE = 200_000
 REFS_PER_TASK = 500_000
 FOREVER = 2**63 - 1
@@ -124,19 +123,14 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     exists at all, else it is missing. Repeated rows come out as often as they go in; empty tables give an
     empty result; extra columns are ignored.
     """
-    spark = refs.sparkSession
+    parents = stored(parents, "orphan-parents")  # aggregated once: counted here, probed below
+    n = LEAST_RANGES
     n_parents = parents.count()
-    n = 1
-    while n < MAX_RANGES and n * PARENTS_PER_RANGE < n_parents:
-        n *= 2
-    while n < 16:
+    while n * PARENTS_PER_RANGE < n_parents:
         n *= 2
     refs = refs.withColumn("rng", _range_of(n))
-    # Bounded by MAX_RANGES rows.
-    counts = {r["rng"]: r["n"] for r in refs.groupBy("rng").agg(F.count("*").alias("n")).collect()}
-    lanes = {r: -(-c // REFS_PER_TASK) for r, c in counts.items()}
-    layout = spark.createDataFrame(sorted(lanes.items()) or [(0, 1)], "rng int, lanes int")
-    layout = F.broadcast(layout)  # at most MAX_RANGES rows
+    # A row per range. It stays a table, so ranges may grow with the parents.
+    layout = stored(refs.groupBy("rng").agg(F.ceil(F.count("*") / REFS_PER_TASK).cast("int").alias("lanes")), "orphan-layout")
     right = parents.withColumn("rng", _range_of(n)).join(layout, "rng").select("rng", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "h1", "h2", "start", "until")
     left = refs.join(layout, "rng").select("rng", F.pmod(F.xxhash64("record_id", "at"), F.col("lanes")).cast("int").alias("lane"), "table_name", "record_id", "field_name", "h1", "h2", "at")
     names = T.StructType.fromDDL("table_name string, record_id long, field_name string, at long, kind string")

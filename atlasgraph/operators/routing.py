@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import half_width, has_code_token, tech_terms
+from ..functions.text import grams, half_width, has_code_token, tech_terms
 from ..session import stored
 
 # Words of the rules.
 _KNOW = "(?:知道|了解|理解|认识|熟悉|清楚|晓得|明白|懂得|读得?懂|看得?懂|懂)"
 _REPO = "(?:代码库|带码库|代码仓库|代码仓|仓库|项目|工程|repo|codebase|代码)"
 _GAP = "[^，。？！,.?!、；;：:]{0,4}"
-_WORLD = "整体|总体|全局|架构|结构|介绍|讲讲|说说|是(?:干|做)(?:什么|嘛|啥)|干啥|干什么的|质量|难点|亮点|风格|规模|多大|总览|概览|概述"
+_GLOBAL = r"整体|总体|全局|架构|结构|介绍|讲讲|说说|是(?:干|做)(?:什么|嘛|啥)|干啥|干什么的|质量|难点|亮点|风格|规模|多大|总览|概览|概述|(?:这|这个|该|本|你们的?|整个|我的|我这|咱们?的?)\s*(?:项目|仓库|工程|代码库)"
 PRONOUN = "(它|这个|这块|那块|那个|(?<!应)该|上面|上文|前面|刚才|之前那|上述)"
 META_WORDS = "了解 熟悉 认识 介绍 简介 概览 概述 总览 整体 整个项目 整个代码 项目架构 项目结构 代码库 这个项目 这项目 这个仓库 这仓库 架构 什么项目 干什么的 是做什么 做什么的 有哪些模块 整个仓库".split()
 
@@ -33,7 +33,7 @@ RULES = (
     Rule("meta-2", "meta", "你(是谁|是什么(?:东西)?|能(?:干|做|帮)|会(?:干|做)|有(?:什么|哪些)(?:功能|能力|用))|怎么用你|帮我?看(?:一?下)?(?:代码|仓库|项目|工程)"),
     Rule("struct-1", "structural", r"(最|前\s*\d+|多少|几个|统计|列出(?:所有|全部)?|排(?:序|名)|总共有)", ("has_code_token",)),
     Rule("entity-1", "entity_local", None, ("has_code_token",)),
-    Rule("global-1", "global", _WORLD + r"|(?:这|这个|该|本|你们的?|整个|我的|我这|咱们?的?)\s*(?:项目|仓库|工程|代码库)", ("no_code_token", "no_linker_hit")),
+    Rule("global-1", "global", _GLOBAL, ("no_code_token", "no_linker_hit")),
     Rule("oos-1", "out_of_scope", "(是什么意思|什么是)", ("no_repo_reference",)),
 )
 FALLBACK = "entity_local"
@@ -98,44 +98,32 @@ def node_text(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.lower(F.concat_ws("\x01", *[F.col(c) for c in have], *lists, *quotes)).alias("low"))
 
 
-#: Terms that one automaton holds; a larger vocabulary is looked for in several passes.
-TERMS_PER_PASS = 200_000
+PIECE = 3
+
+
+def _pieces(c: str, n: Column | int) -> Column:
+    return F.array_distinct(grams(F.col(c), n))
 
 
 def terms_present(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, present): whether any node's text contains the term, whatever its case. Empty terms are never present.
 
-    The vocabulary (distinct terms of a batch of questions) goes in blocks of bounded size; a block is an automaton that
-    finds all its terms in one pass over a text, however many there are, and each batch tells only distinct finds.
+    Containment has no equality to join on, so texts (id, low) and terms meet on pieces of three characters (a shorter term is
+    its own piece). A term with a piece that no text has is absent; one that is a piece is present. Every other term is looked
+    for only in the texts that have its rarest piece. Nothing is gathered to the driver, however large the vocabulary.
     """
     words = stored(terms.select(F.lower("term").alias("t")).where("t <> ''").distinct(), "vocabulary")
-    blocks = -(-words.count() // TERMS_PER_PASS)
-    hit = words.where("false")
-    for b in range(blocks):
-        block = [r["t"] for r in words.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect()]  # about TERMS_PER_PASS
-        if not block:
-            continue
-        hit = hit.unionByName(texts.select("low").where("low is not null").mapInPandas(_finder(block), "t string"))
-    hit = hit.distinct().withColumn("present", F.lit(True))
-    return terms.select("term").distinct().join(hit, F.lower("term") == F.col("t"), "left").select("term", F.coalesce("present", F.lit(False)).alias("present"))
-
-
-def _finder(block: list[str]):
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-
-        automaton = ahocorasick.Automaton()
-        for t in block:
-            automaton.add_word(t, t)
-        automaton.make_automaton()
-        left = set(block)
-        for pdf in batches:
-            found = {t for low in pdf["low"] for _, t in automaton.iter(low)} & left
-            left -= found  # a task tells each term once
-            yield pd.DataFrame({"t": sorted(found)}, dtype="object")
-
-    return run
+    want = words.select("t", F.explode(_pieces("t", F.least(F.length("t"), F.lit(PIECE)))).alias("piece"))
+    low = stored(texts.where("low is not null").select("id", "low").distinct(), "vocabulary-texts")
+    sizes = [r["n"] for r in words.select(F.least(F.length("t"), F.lit(PIECE)).alias("n")).distinct().collect()]  # at most PIECE rows
+    every = F.array_distinct(F.concat(*[grams(F.col("low"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    have = stored(low.select("id", F.explode(every).alias("piece")).join(want.select("piece").distinct(), "piece", "left_semi"), "vocabulary-pieces")
+    known = want.join(have.groupBy("piece").agg(F.count("*").alias("df")), "piece", "left")
+    per = stored(known.groupBy("t").agg(F.count(F.when(F.col("df").isNull(), 1)).alias("missing"), F.min_by("piece", "df").alias("piece")).where("missing = 0").select("t", "piece"), "vocabulary-rarest")
+    at = per.where("t <> piece").join(have, "piece").select("t", "id").distinct()
+    found = at.join(low, "id").where(F.contains("low", F.col("t"))).select("t").unionByName(per.where("t = piece").select("t")).distinct()
+    found = found.withColumn("present", F.lit(True))
+    return terms.select("term").distinct().join(found, F.lower("term") == F.col("t"), "left").select("term", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def verify_premises(texts: DataFrame, premises: DataFrame, key: str = "id") -> DataFrame:

@@ -50,23 +50,6 @@ def _(spark, d):
     return function_facts(_parsed(spark, d)).groupBy("repo").agg(F.count("*").alias("functions"), F.sum("cyclomatic").alias("total"), F.max("cyclomatic").alias("most"))
 
 
-@query("f12_span_table")
-def _(spark, d):
-    fn = function_facts(_parsed(spark, d)).withColumn("file", F.concat_ws("::", "repo", "relpath"))
-    return spans(fn, "file")
-
-
-@query("j1_resolve_calls")
-def _(spark, d):
-    p = _parsed(spark, d).withColumn("module", F.concat_ws(":", "repo", "module"))
-    fn, cl, im = function_facts(p), class_facts(p), import_facts(p)
-    here = F.concat_ws(":", "repo", "target")
-    plain = im.where("symbol is null").select("module", "alias", here.alias("target"))
-    sym = im.where("symbol is not null").select("module", "alias", here.alias("target"), "symbol")
-    out = callgraph.resolve_calls(call_sites(fn), fn.select("module", "qualname"), cl.select("module", "qualname", "bases"), plain, sym)
-    return out.groupBy("kind").agg(F.count("*").alias("sites"), F.count("target").alias("resolved"))
-
-
 @query("j4_owning_class", """with f as (select distinct file_id as module, qualname from function_facts where qualname like '%.%'), c as (select distinct module, split_part(qualname, '.', 1) as q from f)
 select f.module, f.qualname, arg_max(c.q, length(c.q)) as owner from f join c on c.module = f.module and starts_with(f.qualname, c.q || '.') group by f.module, f.qualname""")
 def _(spark, d):
@@ -74,21 +57,6 @@ def _(spark, d):
     return callgraph.owning_class(f, f.select("module", F.substring_index("qualname", ".", 1).alias("qualname")).distinct())
 
 
-@query("j5_resolve_imports")
-def _(spark, d):
-    p = _parsed(spark, d)
-    im = import_facts(p)
-    every = im.where("symbol is null").select("module", "seq", F.col("full").alias("target"), F.lit(None).cast("string").alias("symbol")).unionByName(im.where("symbol is not null").select("module", "seq", "target", "symbol"))
-    out = callgraph.resolve_imports(every, p.where("parsed").select("module"))
-    return out.select("module", "target", F.array_join("names", "|").alias("names"))
-
-
-@query("j7_external_imports")
-def _(spark, d):
-    p = _parsed(spark, d)
-    return callgraph.external_imports(import_facts(p).select("module", F.col("target")), p.where("parsed").select("module"))
-
-
 @query("j8_lines_in_spans", """with s as (select distinct file_id as blob, qualname, span_start, span_end from function_facts where span_start is not null), l as (select distinct blob, span_start + 1 as line from s)
 select l.blob, l.line, count(*) as holders from l join s on s.blob = l.blob and l.line between s.span_start and s.span_end group by l.blob, l.line""")
 def _(spark, d):

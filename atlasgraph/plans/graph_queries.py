@@ -384,11 +384,18 @@ def _(G, spark, d):
     return overview_rows(G)
 
 
-@query("a9_repo_card")
+@query("a9_repo_card", """, c as (select """ + ", ".join(f"count(*) filter (label = '{x}') as n_{x.lower()}" for x in g.NODE_LABELS) + """ from n),
+mods as (select path as name, loc as n from n where label = 'Module' order by loc desc, path limit 8),
+hot as (select dst as name, count(*) as n from e where type = 'MODIFIES' and dst in (select id from n) group by dst order by n desc, dst limit 5), con as (select dst as name, count(*) as n from e where type = 'IMPLEMENTS' and dst in (select id from n) group by dst order by n desc, dst limit 8)
+select c.*, (select string_agg(distinct repo, ', ' order by repo) from n) as repo, (select string_agg(name || '=' || n, '|' order by n desc, name) from mods) as modules, (select string_agg(name || '=' || n, '|' order by n desc, name) from hot) as hot,
+  (select string_agg(name || '=' || n, '|' order by n desc, name) from con) as concepts, (select string_agg(id || '=' || qualname || '??', '|' order by id) from fn where is_endpoint) as entrypoints from c""")
 def _(G, spark, d):
     from ..operators.context import repo_card
 
-    return repo_card(G)
+    card = repo_card(G)
+    rows = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), "|").alias(c)
+    ends = F.array_join(F.transform("entrypoints", lambda x: F.concat(x["id"], F.lit("="), x["qualname"], F.coalesce(x["http_method"], F.lit("?")), F.coalesce(x["route_path"], F.lit("?")))), "|").alias("entrypoints")
+    return card.select("repo", *[c for c in card.columns if c.startswith("n_")], rows("modules"), rows("hot"), rows("concepts"), ends)
 
 
 @query("u3_shared_modules", "select distinct module from home where id in (select id from fn where is_endpoint) intersect select dst from e where type = 'IMPORTS'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("general", "graph_queries", "text_queries", "retrieval_queries", "semantic_queries", "extract_queries")
+MODULES = ("general", "graph_queries", "text_queries", "retrieval_queries", "semantic_queries", "extract_queries", "derived_queries")
 
 
 def collect(attribute: str) -> dict:

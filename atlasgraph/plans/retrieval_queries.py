@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import STOP_WORDS
-from ..operators import bm25, linking, pipeline
+from ..operators import bm25, linking, pipeline, routing
 from ..operators.graph import test_graph
 from ..operators.metrics import fan_in
 from .graph_queries import BASE, _table
-from .text_queries import TOKENS, _quoted, questions, terms_sql
+from .text_queries import _HALF, _WIDE, TOKENS, _code_sql, _quoted, _route_sql, questions, terms_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -62,19 +62,19 @@ def _(spark, d):
 
 @query("a11_topic_recall", _INDEX + "select qid, rank, id, round(score, 4) as score, matched_terms from rk where rank <= 8")
 def _(spark, d):
-    r = bm25.topic_recall(bm25.build_index(_docs(spark, d)), search_queries(spark, d))
+    r = bm25.search(_docs(spark, d), search_queries(spark, d))
     return r.withColumn("matched_terms", F.array_join("matched_terms", "|"))
 
 
 @query("r5_bm25_context", _INDEX + ", r0 as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as r from sc) select qid, r as rank, id, round(score, 4) as score from r0 where r <= 8")
 def _(spark, d):
-    return bm25.topic_recall(bm25.build_index(_docs(spark, d)), search_queries(spark, d), bm25.TOP, 0.0).drop("matched_terms")
+    return bm25.search(_docs(spark, d), search_queries(spark, d), bm25.TOP, 0.0).drop("matched_terms")
 
 
 @query("r5_context_text")
 def _(spark, d):
-    docs = _docs(spark, d)
-    return bm25.bm25_context(bm25.build_index(docs), search_queries(spark, d), docs).select("qid", F.array_join(F.col("linked").cast("array<string>"), "|").alias("linked"), "context_text")
+    docs, q = _docs(spark, d), search_queries(spark, d)
+    return bm25.bm25_context(bm25.build_index(docs, wanted=bm25.query_terms(q)), q, docs).select("qid", F.array_join(F.col("linked").cast("array<string>"), "|").alias("linked"), "context_text")
 
 
 _KEYS = r""", sy as (select id, label, qualname as name, string_split(qualname, '.') as p from n where label in ('Function', 'Class') and qualname is not null),
@@ -178,6 +178,27 @@ def _(spark, d):
     return pipeline.build_context(G, docs, search_queries(spark, d))
 
 
-@query("r3_context_modes")
+_NODE_INDEX = _INDEX[len("with recursive ") : _INDEX.index("q as (")].replace("doc_id as id", "id").replace("from documents", "from n")
+_ROUTES = BASE + f""", q as (select id, translate(coalesce(question, ''), '{_WIDE}', '{_HALF}') as question from (select id, max(question) as question from dataset where id is not null group by id)
+  where question is not null and regexp_extract(id, '([0-9]+)$', 1)::bigint % 20 = 0)""" + TOKENS + _KEYS + ", " + _NODE_INDEX + f"""
+qt as (select id as qid, unnest(list_distinct(list_filter({terms_sql('question')}, lambda x: x not in ({_quoted(sorted(STOP_WORDS))})))) as term from q where id not in (select qid from lk)),
+sc as (select qid, po.id, sum(weight) as score from qt join po on po.term = qt.term group by qid, po.id), tp as (select qid, least(count(*), 8) as topics from sc where score >= 1.0 group by qid),
+top as (select *, lead(score) over (partition by qid order by rank) as next, count(*) over (partition by qid) as k from lk where rank <= 5),
+ch2 as (select qid, k, string_agg(id, '|' order by rank) over (partition by qid rows between unbounded preceding and unbounded following) as linked, rank, id, method in ('exact_qualname', 'suffix_qualname') as exact, score - next as gap from top),
+m as (select q.id as qid, q.question as norm, coalesce(c.k, 0) as linked, coalesce(c.linked, '') as ids, coalesce(tp.topics, 0) as topics, not coalesce(c.exact or c.k = 1 or c.gap >= 20, true) as asks, case when c.exact or c.k = 1 or c.gap >= 20 then c.id end as pick, coalesce(not c.exact and c.k = 1, false) as weak from q left join ch2 c on c.qid = q.id and c.rank = 1 left join tp on tp.qid = q.id),
+sg as (select *, {_code_sql('norm')} as code, regexp_matches(norm, '{routing.PRONOUN.replace('(?<!应)该', '(?:^|[^应])该')}') or topics > 0 as pronoun from m),
+rt as (select *, case {_route_sql()} end as hit from sg), rl as (select *, coalesce(split_part(hit, ':', 2), 'entity_local') as route_label, coalesce('rule:' || split_part(hit, ':', 1), 'fallback:default') as route_source from rt),
+md as (select *, route_label = 'entity_local' as here, case when route_label = 'out_of_scope' then 'out_of_scope' when route_label <> 'entity_local' then 'overview' when linked > 0 then 'symbol' when topics > 0 then 'topic' else 'overview' end as mode from rl),
+routes as (select qid, route_label, route_source, mode, ids as linked, topics, route_label in ('structural', 'out_of_scope') or (here and linked = 0 and topics = 0) or (here and weak) as degraded, here and asks as needs_disambiguation from md)
+"""
+
+
+@query("r1_routes", _ROUTES + "select * from routes")
+def _(spark, d):
+    c = QUERIES["r1_build_context"](spark, d)
+    return c.select("qid", "route_label", "route_source", "mode", F.array_join("linked", "|").alias("linked"), "topics", "degraded", "needs_disambiguation")
+
+
+@query("r3_context_modes", _ROUTES + "select route_label, mode, degraded, count(*) as n from routes group by all")
 def _(spark, d):
     return QUERIES["r1_build_context"](spark, d).groupBy("route_label", "mode", "degraded").agg(F.count("*").alias("n"))

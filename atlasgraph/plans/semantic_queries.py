@@ -126,12 +126,6 @@ def _(spark, d):
     return semantic.apply_cards(semantic.apply_cards(nodes, cards), cards).select("id", "zh_desc")
 
 
-@query("u4_unmatched_cards", BASE + "select distinct {0} as id from concept_staging where source_ref is not null and {0} not in (select id from n)".format(_NORM.format("source_ref")))
-def _(spark, d):
-    cards = _table(spark, d, "concept_staging").where("source_ref is not null").select(norm_ref(F.col("source_ref")).alias("id"))
-    return semantic.unmatched_cards(test_graph(spark, d).nodes, cards)
-
-
 @query("j19_similar_names", r"""with n as (select distinct name as x, regexp_replace(lower(name), '[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{0085}\x{2028}\x{2029}\x{1680}]+', '', 'g') as t from concept_staging where name is not null),
 g as (select x, case when length(t) < 2 then list_filter([t], lambda y: y <> '') else list_distinct(list_transform(generate_series(1, length(t) - 1), lambda i: substr(t, i, 2))) end as g from n),
 e as (select x, len(g) as n, unnest(g) as gram from g), p as (select a.x as a, b.x as b, count(*) as s, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.gram = b.gram and a.x < b.x group by 1, 2)
@@ -186,7 +180,12 @@ def _(spark, d):
     return evaluation.failure_attribution(q, ranked, gold)
 
 
-@query("a18_calibration_grid")
+@query("a18_calibration_grid", _RANKED + """, t as (select fr.qid, fr.rk, fr.score, gd.id is not null as gold from fr left join gd on gd.qid = fr.qid and gd.id = fr.id where fr.rk <= 3),
+g as (select s::double as min_score, m::double as margin, a as autopick from (values (1), (2), (4), (8)) x(s), (values (0.1), (0.15), (0.2), (0.25)) y(m), (values (true), (false)) z(a)),
+c as (select qs.qid, min_score, margin, autopick, count(t.rk) as k, max(round(score, 4)) filter (rk = 1) as s1, max(round(score, 4)) filter (rk = 2) as s2, coalesce(bool_or(gold and rk = 1), false) as g1, coalesce(bool_or(gold), false) as g3 from qs cross join g left join t on t.qid = qs.qid and t.score >= min_score group by all),
+r as (select min_score, margin, autopick, count(*) as n, round(avg(((autopick or k > 1) and g1)::int), 4) as hit_1, round(avg(((autopick or k > 1) and g3)::int), 4) as hit_3, round(avg((case when k >= 2 and s1 > 0 then (s1 - s2) / s1 < margin else false end)::int), 4) as over_ask from c group by all),
+f as (select *, over_ask <= 0.2 as feasible, over_ask <= 0.2 and hit_1 > 0 as ok from r)
+select * exclude (ok), ok and row_number() over (order by ok desc, hit_1 desc, hit_3 desc, min_score desc, margin desc, autopick) = 1 as best, row_number() over (order by hit_1 desc, hit_3 desc, min_score desc, margin desc, autopick) = 1 as least_bad from f""")
 def _(spark, d):
     q, ranked, gold = _ranked(spark, d)
     scored = ranked.join(gold.withColumn("g", F.lit(True)), ["qid", "id"], "left").select("qid", "rank", "score", F.coalesce("g", F.lit(False)).alias("gold"))

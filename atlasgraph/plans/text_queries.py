@@ -106,17 +106,6 @@ def _(spark, d):
     return questions(spark, d).where("question is not null").select("id", F.size(t).cast("long").alias("n"))
 
 
-@query("f13_fixes")
-def _(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.explode(tx.fixes(F.col("text"))).alias("f")).select("doc_id", "f.number", "f.pattern")
-
-
-@query("f13_pull_requests", r"select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(split_part(text, chr(10), 1), '\(#(\d+)\)', 1), lambda x: x::int))) as number from documents where text is not null and not regexp_matches(text, '(?i)\b(fix(e[sd])?|close[sd]?|resolve[sd]?)\b[:\s]*#\d+')")
-def _(spark, d):
-    rows = _table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(tx.fixes(F.col("text"))).alias("f"), "text")
-    return rows.where("f.pattern = 'pr_ref'").where(~F.col("text").rlike(r"(?i)\b(fix(e[sd])?|close[sd]?|resolve[sd]?)\b[:\s]*#\d+")).select("doc_id", "f.number")
-
-
 @query("f15_parse_time", "select doc_id, try_cast(x as timestamp) as t from (select doc_id, case when doc_id % 3 = 0 then 'soon' else strftime(written_at, '%Y-%m-%d %H:%M:%S') end as x from documents)")
 def _(spark, d):
     x = F.when(F.col("doc_id") % 3 == 0, F.lit("soon")).otherwise(F.date_format("written_at", "yyyy-MM-dd HH:mm:ss"))
@@ -155,7 +144,8 @@ def _(spark, d):
     return r.select("row_no", v.alias("v")).where("v is not null").select("row_no", F.try_variant_get("v", "$.verdict", "string").alias("verdict"), F.try_variant_get("v", "$.reason", "string").alias("reason"))
 
 
-@query("f20_json_verdict_all")
+@query("f20_json_verdict_all", """with r as (select row_no, regexp_extract(list_last(string_split(raw_response, '<retry>')), '(?s)\\{.*\\}') as j from judge_pp_b)
+select row_no, json_extract_string(j, '$.verdict') as verdict, json_extract_string(j, '$.reason') as reason from r where j <> '' and json_valid(j)""")
 def _(spark, d):
     from ..functions.jsonx import last_reply, outer_object
 
@@ -214,28 +204,6 @@ def _(spark, d):
     return routing.route(routing.with_signals(q)).select("id", "route_label", "route_source")
 
 
-@query("f9_lexical_premises", f"{QS} select id, unnest(list_filter([" + ", ".join(f"case when regexp_matches(lower(question), '(^|[^a-z0-9]){t}($|[^a-z0-9])') then '使用 {s}' end" for t, s in TECH_TERMS.items()) + "], lambda x: x is not null)) as claim from q where question is not null")
-def _(spark, d):
-    return routing.lexical_premises(questions(spark, d)).select("id", "claim")
-
-
-@query("f9_claim_terms")
-def _(spark, d):
-    claims = _table(spark, d, "dataset").where("false_premise is not null").select("id", F.col("false_premise").alias("claim")).distinct()
-    return routing.premises_from_claims(claims).select("id", "claim", F.array_join("terms", "|").alias("terms"))
-
-
 @query("meta_questions", f"{QS} select id, regexp_matches(coalesce(question, ''), '{'|'.join(routing.META_WORDS)}') as meta from q")
 def _(spark, d):
     return questions(spark, d).select("id", routing.is_meta_question(F.col("question")).alias("meta"))
-
-
-@query("verify_premises", BASE + """, q as (select distinct id, unnest(absent_keywords) as term from dataset where absent_keywords is not null),
-g as (select lower(concat_ws(chr(1), qualname, name, path, text)) as low from n), hit as (select distinct lower(term) as t from q where exists (select 1 from g where contains(low, lower(term))))
-select id, count(*) as terms from q group by id having count(case when lower(term) in (select t from hit) then 1 end) = 0""")
-def _(spark, d):
-    from ..operators.graph import test_graph
-
-    k = _table(spark, d, "dataset").where("size(absent_keywords) > 0").select("id", F.array_distinct("absent_keywords").alias("terms")).distinct()
-    prem = k.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).select("id", F.lit("").alias("claim"), "terms", F.lit("dataset").alias("source"))
-    return routing.verify_premises(routing.node_text(test_graph(spark, d).nodes), prem).select("id", F.size("terms").cast("long").alias("terms"))

@@ -16,7 +16,16 @@ COMMITS_PER_TASK = 200
 
 def _git(path: str, *args: str, stdin: bytes | None = None) -> bytes:
     done = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", path, *args], input=stdin, capture_output=True)
-    return done.stdout if done.returncode == 0 else b""
+    if done.returncode:
+        raise RuntimeError(f"git {args[0]} in {path}: {done.stderr.decode('utf-8', 'replace').strip()}")
+    return done.stdout
+
+
+def _has_commits(path: str) -> bool:
+    """Whether HEAD is a commit; false for a repository without any, an error where there is no repository."""
+    _git(path, "rev-parse", "--git-dir")
+    done = subprocess.run(["git", "-c", "safe.directory=*", "-C", path, "rev-parse", "--verify", "--quiet", "HEAD"], capture_output=True)
+    return done.returncode == 0
 
 
 class _Range(InputPartition):
@@ -31,7 +40,7 @@ class GitReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        ids = _git(self.path, "rev-list", "HEAD").decode().split()
+        ids = _git(self.path, "rev-list", "HEAD").decode().split() if _has_commits(self.path) else []
         return [_Range(ids[i : i + COMMITS_PER_TASK]) for i in range(0, len(ids), COMMITS_PER_TASK)] or [_Range([])]
 
     def read(self, partition):
@@ -114,17 +123,22 @@ def changed_lines(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_blobs(blobs: DataFrame, path: str) -> DataFrame:
-    """(blob, source_text) of distinct blob names; null where a blob isn't there or isn't UTF-8."""
+    """(blob, source_text) of distinct blob names; null where a blob isn't there or isn't UTF-8. Git is asked once per batch."""
 
     def run(batches):
         for pdf in batches:
-            texts = []
-            for b in pdf["blob"]:
-                try:
-                    data = _git(path, "cat-file", "blob", b)
-                    texts.append(data.decode("utf-8"))
-                except UnicodeDecodeError:
-                    texts.append(None)
+            out, at, texts = _git(path, "cat-file", "--batch", stdin="".join(f"{b}\n" for b in pdf["blob"]).encode()), 0, []
+            for _ in pdf["blob"]:
+                head, at = out[at : out.index(b"\n", at)].split(b" "), out.index(b"\n", at) + 1
+                text = None
+                if len(head) == 3:  # name, kind, size; otherwise it is missing
+                    data, at = out[at : at + int(head[2])], at + int(head[2]) + 1
+                    if head[1] == b"blob":
+                        try:
+                            text = data.decode("utf-8")
+                        except UnicodeDecodeError:
+                            pass
+                texts.append(text)
             yield pd.DataFrame({"blob": pdf["blob"], "source_text": texts})
 
     return blobs.where("blob is not null").select("blob").distinct().mapInPandas(run, "blob string, source_text string")

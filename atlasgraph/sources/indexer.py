@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -13,6 +13,7 @@ from ..session import stored
 from .gitlog import changed_lines, read_blobs, read_git
 from .python_source import call_sites, class_facts, function_facts, import_facts, parse_sources, read_worktree, spans
 
+SEPARATOR = "\x01"
 PROPS = "count int, call_sites array<int>, names array<string>, lines_added int, lines_deleted int, overlap_lines int, pattern string"
 
 
@@ -24,22 +25,38 @@ def _edges(df: DataFrame, etype: str, **props) -> DataFrame:
     return df.select(*out)
 
 
+def within(repo: str, name: str) -> Column:
+    """A dotted name of a repository, whose own name can't be taken for a part of it; null for no name."""
+    return F.concat(F.regexp_replace(F.coalesce(repo, F.lit("")), r"[.]", "\x02"), F.lit(SEPARATOR + "."), F.col(name))
+
+
+def without(name: Column) -> Column:
+    return F.substring_index(name, SEPARATOR + ".", -1)
+
+
 def module_id(repo, path):
     return F.concat_ws("::", repo, path)
 
 
 def structure(parsed: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """Tables of nodes and edges of parsed modules (see parse_sources): module, class, function, contains, imports, calls, sites."""
+    """Tables of nodes and edges of parsed modules (see parse_sources): module, class, function, contains, imports, calls, sites.
+
+    Names are resolved within their repository: a module goes by repository and dotted name, so two repositories with one
+    path have nothing to do with each other.
+    """
+    # A dotted name and what it is compared with get the repository as their first part.
+    parsed = parsed.withColumn("module", within("repo", "module"))
     fn, cl, im = function_facts(parsed), class_facts(parsed), import_facts(parsed)
+    im = im.withColumns({"full": within("repo", "full"), "target": F.when(F.col("target") == "", F.col("target")).otherwise(within("repo", "target"))})
     mid = module_id(F.col("repo"), F.col("relpath"))
     home = parsed.where("parsed").select("repo", "module", "relpath").distinct()
     mods = home.select("module")
     plain = im.where("symbol is null").select("module", "seq", F.col("full").alias("target"), F.lit(None).cast("string").alias("symbol"))
     sym = im.where("symbol is not null").select("module", "seq", "target", "symbol")
     inside = resolve_imports(plain.unionByName(sym), mods)
-    outer = external_imports(im.select("module", F.when(F.col("symbol").isNull(), F.col("target")).otherwise(F.when(F.col("target") != "", F.col("target")).otherwise(F.col("symbol"))).alias("target")), mods)
+    outer = external_imports(im.select("module", F.when(F.col("symbol").isNull(), F.col("target")).otherwise(F.when(F.col("target") != "", F.col("target")).otherwise(within("repo", "symbol"))).alias("target")), mods)
     # `from p import m` of a module p.m isn't external even if p alone is no module.
-    outer = outer.groupBy("module").agg(F.sort_array(F.collect_set("target")).alias("external_imports"))
+    outer = outer.groupBy("module").agg(F.sort_array(F.collect_set(without(F.col("target")))).alias("external_imports"))
     ep = endpoint(F.col("decorators"), F.col("arguments"), settings.endpoint_patterns)
     module = parsed.where("parsed").join(outer, "module", "left").select(
         mid.alias("id"), F.lit("Module").alias("label"), "repo", F.col("relpath").alias("path"), F.regexp_replace(F.substring_index("relpath", "/", -1), r"\.py$", "").alias("name"), F.col("facts.package").alias("package"), F.col("facts.loc").alias("loc"),
@@ -51,9 +68,9 @@ def structure(parsed: DataFrame, settings: Settings = Settings()) -> dict[str, D
         F.col("ep.http_method").alias("http_method"), F.col("ep.route_path").alias("route_path"), first_line_or_null(F.col("docstring")).alias("docstring"), "cyclomatic", "module",
     )
     owner = F.when(F.col("qualname").contains("."), F.regexp_replace("qualname", r"\.[^.]*$", ""))
-    known = classes.select(F.col("path").alias("p"), F.col("qualname").alias("q"), F.col("id").alias("c")).distinct()
+    known = classes.select(F.col("module").alias("m"), F.col("qualname").alias("q"), F.col("id").alias("c")).distinct()
     f = functions.withColumn("owner", owner)
-    contains = _edges(f.join(known, (F.col("path") == F.col("p")) & (F.col("owner") == F.col("q")), "left").select(F.coalesce("c", module_id(F.col("repo"), F.col("path"))).alias("src"), F.col("id").alias("dst")).distinct(), "CONTAINS")
+    contains = _edges(f.join(known, (F.col("module") == F.col("m")) & (F.col("owner") == F.col("q")), "left").select(F.coalesce("c", module_id(F.col("repo"), F.col("path"))).alias("src"), F.col("id").alias("dst")).distinct(), "CONTAINS")
     contains = contains.unionByName(_edges(classes.select(module_id(F.col("repo"), F.col("path")).alias("src"), F.col("id").alias("dst")).distinct(), "CONTAINS"))
     at = home.select("module", mid.alias("mid"))
     imp = inside.join(at, "module").join(at.select(F.col("module").alias("target"), F.col("mid").alias("dst")), "target").select(F.col("mid").alias("src"), "dst", "names")

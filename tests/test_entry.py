@@ -1,7 +1,4 @@
-"""A cross-section of the registered queries runs at the smallest scale and agrees with its SQL.
-
-All of them are compared at a larger scale outside the test suite.
-"""
+"""Every registered query of the core that has SQL agrees with it at the smallest scale, and every one gives rows."""
 
 import glob
 import math
@@ -14,7 +11,8 @@ import __spark_entry__ as entry
 from atlasgraph.plans import registry
 
 CORE, ORACLE = registry.collect("QUERIES"), registry.collect("ORACLE")
-HEAVY = {"r1_build_context", "r3_context_modes"}
+#: Queries for which the smallest scale has too few rows; the next one gives them rows.
+FEW: set[str] = set()
 
 
 def norm(v):
@@ -41,7 +39,7 @@ def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in CORE if n in ORACLE)[::6])
+@pytest.mark.parametrize("name", sorted(n for n in CORE if n in ORACLE))
 def test_against_sql(spark, small, sql, name):
     df = CORE[name](spark, small)
     cols = sorted(df.columns)
@@ -50,28 +48,20 @@ def test_against_sql(spark, small, sql, name):
     have = [d[0] for d in r.description]
     assert sorted(have) == cols
     at = [have.index(c) for c in cols]
+    assert got or name in FEW, "no rows, so nothing is compared"
     assert got == sorted((tuple(norm(x[i]) for i in at) for x in r.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in CORE if n not in ORACLE and n not in HEAVY)[::4])
+@pytest.mark.parametrize("name", sorted(n for n in CORE if n not in ORACLE))
 def test_without_sql(spark, small, name):
-    assert CORE[name](spark, small).count() >= 0
+    assert not CORE[name](spark, small).isEmpty()
 
 
 @pytest.mark.parametrize("name", ["t2_impact_calls", "t3_impact_imports", "t8_caller_pattern", "j16_enriched_candidates", "j20_rev_calls_closure", "j20_impact_modules"])
-def test_all_functions_are_targets(spark, small, sql, name):
-    test_against_sql(spark, small, sql, f"{name}_all")
+def test_all_functions_are_targets(spark, small, name):
     every, few = CORE[f"{name}_all"](spark, small), CORE[name](spark, small)
     key = few.columns[0]
     assert few.select(key).subtract(every.select(key)).count() == 0 and every.count() > few.count()
     if name.startswith("t"):
         fn = CORE["s5_nodes_of_label"](spark, small).select("id")
         assert every.count() == (fn.join(CORE["j10_module_of"](spark, small), "id", "left_semi") if "imports" in name else fn).count()
-
-
-def test_budget_takes_every_line(spark, small, sql):
-    test_against_sql(spark, small, sql, "l7_budget_lines")
-
-
-def test_docstring_batch(spark, small, sql):
-    test_against_sql(spark, small, sql, "a15_docstring_batch")

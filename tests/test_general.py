@@ -1,6 +1,7 @@
 """Repeated deliveries and orphan references, against brute force and in awkward cases."""
 
 import datetime as dt
+import os
 import random
 
 import pyarrow as pa
@@ -47,6 +48,25 @@ def test_deliveries_with_late_arrivals(spark, tmp_path):
     assert got == brute([r for p in parts for r in p])
 
 
+def test_a_standing_stream_reads_new_files_only(spark, tmp_path):
+    old = [(i, f"m{i % 40}", "A", T0 + DAY * (i % 50)) for i in range(100)]
+    new = [(i, f"m{30 + i % 30}", "A", T0 + DAY * (40 + i % 50)) for i in range(100, 200)]
+    path, folder = messages(tmp_path / "m.parquet", [old]), str(tmp_path / "standing")
+    run = lambda: sorted(r[0] for r in repeated_deliveries(spark, path, folder=folder).collect())
+    assert run() == brute(old)
+    states = lambda: set(os.listdir(f"{folder}/states"))
+    first = states()
+    for p in os.listdir(messages(tmp_path / "more", [new])):
+        os.rename(tmp_path / "more" / p, f"{path}/new-{p}")
+    assert run() == brute(old + new)
+    touched = {r["k1"] for b in states() - first for r in spark.read.parquet(f"{folder}/states/{b}").collect()}
+    assert touched == {r[1] for r in new} and run() == brute(old + new)
+    late = [(900, "m1", "A", T0 - DAY * 400), (901, "m1", "A", T0 + DAY * 900)]
+    for p in os.listdir(messages(tmp_path / "late", [late])):
+        os.rename(tmp_path / "late" / p, f"{path}/late-{p}")
+    assert run() == brute(old + new + late)
+
+
 def test_deliveries_ties_hot_key_and_single_file(spark, tmp_path):
     part = [(i, "hot", "A", T0) for i in range(500, 0, -1)] + [(1000, "one", "A", T0)]
     path = messages(tmp_path / "m.parquet", [part])

@@ -11,7 +11,7 @@ from atlasgraph import cli
 from atlasgraph.config import Settings
 from atlasgraph.operators.graph import Graph, counts
 from atlasgraph.sources import gitlog, sinks
-from atlasgraph.sources.indexer import build_graph
+from atlasgraph.sources.indexer import build_graph, structure
 from atlasgraph.sources.python_source import function_facts, import_facts, module_facts, parse_sources, read_worktree
 from atlasgraph.tools import Tools, serve
 
@@ -104,6 +104,28 @@ def test_history(indexed):
     assert s["quality"]["dangling_modifies"] >= 2 and s["quality"]["parse_skips"] == 1 and s["nodes"]["Commit"] == 5 and os.path.exists(f"{out}/graph.html")
 
 
+def test_repositories_with_one_path_stay_apart(spark):
+    core = "import util\nfrom util import help_me as h\n\nclass Box:\n    def put(self):\n        return self.take()\n    def take(self):\n        return h()\n"
+    files = [("one", "src/core.py", core), ("one", "src/util.py", "def help_me():\n    pass\n"), ("two.x", "src/core.py", core + "\ndef only_two():\n    pass\n"), ("two.x", "src/other.py", "import core\n\ndef go():\n    core.only_two()\n")]
+    s = structure(parse_sources(spark.createDataFrame(files, "repo string, relpath string, source_text string")))
+    edges = rows(s["contains"].unionByName(s["imports"]).unionByName(s["calls"]), "src", "type", "dst")
+    assert all(a.split("::")[0] == b.split("::")[0] for a, _, b in edges) and len(edges) == len(set(edges))
+    assert {(a, t, b) for a, t, b in edges if t != "CONTAINS"} == {
+        ("one::src/core.py", "IMPORTS", "one::src/util.py"), ("two.x::src/other.py", "IMPORTS", "two.x::src/core.py"), ("one::src/core.py::Box.put", "CALLS", "one::src/core.py::Box.take"), ("two.x::src/core.py::Box.put", "CALLS", "two.x::src/core.py::Box.take"),
+        ("one::src/core.py::Box.take", "CALLS", "one::src/util.py::help_me"), ("two.x::src/other.py::go", "CALLS", "two.x::src/core.py::only_two"),
+    }
+    assert {(r["repo"], r["path"]): r["external_imports"] for r in s["module"].collect()} == {("one", "src/core.py"): [], ("one", "src/util.py"): [], ("two.x", "src/core.py"): ["util"], ("two.x", "src/other.py"): []}
+
+
+def test_a_failing_git_is_an_error(spark, tmp_path, repo):
+    with pytest.raises(RuntimeError):
+        gitlog._git(str(tmp_path), "rev-list", "HEAD")
+    with pytest.raises(RuntimeError):
+        list(gitlog.GitReader(str(repo)).read(gitlog._Range(["0" * 40])))
+    with pytest.raises(Exception):
+        gitlog.read_git(spark, str(tmp_path / "nowhere")).count()
+
+
 def test_empty_repository(spark, tmp_path):
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     assert gitlog.read_git(spark, str(tmp_path)).count() == 0
