@@ -9,7 +9,7 @@ import sys
 from .config import Settings
 from .operators.graph import Graph, upsert
 from .session import cleanup, get_session, stored
-from .sources.sinks import load_graph, patch_stats, render_html, save_graph, statistics, write_stats
+from .sources.sinks import load_graph, patch_stats, render_all, save_graph, statistics, write_stats
 
 
 def _index(spark, args) -> None:
@@ -38,7 +38,7 @@ def _semantic(spark, args) -> None:
 
 
 def _viz(spark, args) -> None:
-    print("\n".join(render_html(load_graph(spark, f"{args.out}/graph"), args.out)))
+    print("\n".join(render_all(load_graph(spark, f"{args.out}/graph"), args.out)))
 
 
 def _impact(spark, args) -> int:

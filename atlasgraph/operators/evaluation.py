@@ -173,3 +173,37 @@ def judge_premise(answer: Column, context: Column, absent: Column, truths: Colum
     says = lambda words: F.coalesce(F.exists(F.coalesce(words, none), lambda w: F.contains(low, F.lower(w))), F.lit(False))
     contradicts = text.rlike("|".join(CONTRADICTIONS))
     return F.struct(says(absent).alias("leak"), (contradicts & (says(truths) | (F.size(F.coalesce(truths, none)) == 0))).alias("corrected"))
+
+
+def judged_contexts(questions: DataFrame, contexts: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per question with its judgements: hit_1 and hit_3 where it has a gold entity (null otherwise), passed, over_ask and
+    under_ask where it has a gold behaviour, routed where it has a gold mode class.
+
+    questions has qid, subset, gold_entity, gold_behavior and gold_mode_class, contexts what build_context gives.
+    """
+    eq = gold_equivalents(edges, questions.where("gold_entity is not null").select(F.col("gold_entity").alias("gold")).distinct()).select(F.col("gold").alias("gold_entity"), F.col("ids").alias("golds"))
+    j = questions.join(contexts.select("qid", "linked", "mode", "needs_disambiguation"), "qid").join(eq, "gold_entity", "left")
+    linked = judge_linked(F.col("linked"), F.col("golds"))
+    ambiguous = judge_ambiguous(F.col("gold_behavior"), F.col("needs_disambiguation"), F.col("linked"), F.col("mode"))
+    of = lambda known, value: F.when(F.col(known).isNotNull(), value)
+    return j.select(
+        "qid", "subset", "gold_behavior", of("gold_entity", linked["hit_1"]).alias("hit_1"), of("gold_entity", linked["hit_3"]).alias("hit_3"), of("gold_behavior", ambiguous["passed"]).alias("passed"),
+        of("gold_behavior", ambiguous["over_ask"]).alias("over_ask"), of("gold_behavior", ambiguous["under_ask"]).alias("under_ask"), of("gold_mode_class", mode_class(F.col("mode")) == mode_class(F.col("gold_mode_class"))).alias("routed"),
+        of("gold_entity", F.coalesce(F.arrays_overlap("linked", "golds"), F.lit(False))).alias("recalled"),
+    )
+
+
+def subset_rates(judged: DataFrame, by: str = "subset") -> DataFrame:
+    """Per subset n, hit@1, hit@3, recall of the gold entity among all links, pass, over-ask (of the questions that should be
+    picked), under-ask (of those that should be asked back) and routing accuracy, to 4 places; null where nothing counts."""
+    share = lambda c, when=None: F.round(F.avg((F.col(c) if when is None else F.when(F.col("gold_behavior") == when, F.col(c))).cast("int")), 4)
+    return judged.groupBy(by).agg(
+        F.count("*").alias("n"), share("hit_1").alias("hit_1"), share("hit_3").alias("hit_3"), share("recalled").alias("recall_gold"), share("passed").alias("pass_rate"),
+        share("over_ask", "should_autopick").alias("over_ask"), share("under_ask", "should_disambiguate").alias("under_ask"), share("routed").alias("routing"),
+    )
+
+
+def premise_rates(judged: DataFrame, by: str = "group") -> DataFrame:
+    """Per group n and the shares of answers that leak an absent keyword and that correct the premise (leak, corrected)."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate")
+    return judged.groupBy(by).agg(F.count("*").alias("n"), share("leak"), share("corrected"))

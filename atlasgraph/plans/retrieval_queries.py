@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import STOP_WORDS
 from ..operators import bm25, linking, pipeline, routing
+from ..operators.context import BUDGET, NOTICE
 from ..operators.graph import test_graph
 from ..operators.metrics import fan_in
 from .graph_queries import BASE, _table
@@ -71,7 +72,10 @@ def _(spark, d):
     return bm25.search(_docs(spark, d), search_queries(spark, d), bm25.TOP, 0.0).drop("matched_terms")
 
 
-@query("r5_context_text")
+@query("r5_context_text", _INDEX + f""", r0 as (select * from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as r from sc) where r <= 8),
+ln as (select qid, 0 as o, 0 as p, '{bm25.HEADING}' as line from qs union all select qid, r, 0, '[' || r || '] [Document] ' || id || '  (BM25=' || round(score, 4) || ')' from r0 union all select qid, r, 1, '    ' || text from r0 join documents on doc_id = id),
+s as (select *, sum(length(line) + 1) over (partition by qid order by o, p) as run from ln)
+select qid, (select string_agg(id::varchar, '|' order by r) from r0 where r0.qid = s.qid) as linked, coalesce(string_agg(line || chr(10), '' order by o, p) filter (run <= {BUDGET}), '') || case when max(run) > {BUDGET} then '{NOTICE}' else '' end as context_text from s group by qid""")
 def _(spark, d):
     docs, q = _docs(spark, d), search_queries(spark, d)
     return bm25.bm25_context(bm25.build_index(docs, wanted=bm25.query_terms(q)), q, docs).select("qid", F.array_join(F.col("linked").cast("array<string>"), "|").alias("linked"), "context_text")
@@ -137,12 +141,19 @@ def _(spark, d):
     return linking.expand_names(t.select(F.col("group_no").alias("id"), F.lit("Concept").alias("label"), "name", "aliases"), t.select(F.explode("members").alias("name")).distinct())
 
 
-@query("u1_extra_queries", _LINK + """, two as (select split_part(qid, '-', 1) as qid, id, max(score) as score from lk where rank <= 5 group by 1, 2)
+_TWO = BASE + """, d0 as (select id, max(question) as question, max(gold_entity) as g, max(target_semantic) as t from dataset where id is not null group by id),
+q as (select id, question from d0 union all select id || '#1', split_part(g, '::', -1) || ' ' || coalesce(t, '') from d0 where g is not null)""" + TOKENS + _KEYS
+
+
+@query("u1_extra_queries", _TWO + """, two as (select split_part(qid, '#', 1) as qid, id, max(score) as score from lk where rank <= 5 group by 1, 2)
 select qid, rank, id, score from (select *, row_number() over (partition by qid order by score desc, id) as rank from two) where rank <= 5""")
 def _(spark, d):
-    q = questions(spark, d).select(F.col("id").alias("qid"), "question")
-    linked = linking.link_entities(test_graph(spark, d).nodes, q).withColumn("qid", F.substring_index("qid", "-", 1)).select("qid", "id", "score")
-    return linking.union_best(linked.where("score >= 60"), linked.where("score < 60"))
+    # The question's own links, and those of a rewriting that names the symbol asked for.
+    nodes = test_graph(spark, d).nodes
+    first = linking.link_entities(nodes, questions(spark, d).select(F.col("id").alias("qid"), "question"))
+    again = _table(spark, d, "dataset").where("id is not null").groupBy(F.col("id").alias("qid")).agg(F.max("gold_entity").alias("g"), F.max("target_semantic").alias("t")).where("g is not null")
+    again = again.select("qid", F.concat(F.substring_index("g", "::", -1), F.lit(" "), F.coalesce("t", F.lit(""))).alias("question"))
+    return linking.union_best(first.select("qid", "id", "score"), linking.link_entities(nodes, again).select("qid", "id", "score"))
 
 
 @query("j16_candidates_described", _LINK + ", fi as (select fn.id, count(distinct e.src) as fan_in from fn left join e on e.dst = fn.id and e.type = 'CALLS' group by fn.id) select qid, lk.id, coalesce(n.path, '') as path, coalesce(fi.fan_in, 0) as fan_in from lk left join n on n.id = lk.id left join fi on fi.id = lk.id where rank <= 5")

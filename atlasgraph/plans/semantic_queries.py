@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bm25, evaluation, semantic
+from ..operators import bm25, evaluation, linking, semantic
 from ..operators.graph import by_label, by_type, test_graph
 from ..operators.orphans import norm_ref
 from .general import _NORM
 from .graph_queries import BASE, _table
-from .retrieval_queries import _INDEX, _docs, search_queries
+from .retrieval_queries import _INDEX, _LINK, _ROUTES, _docs, search_queries
+from .retrieval_queries import QUERIES as RETRIEVAL
+from .text_queries import questions
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -222,15 +224,61 @@ def _(spark, d):
     return j.select("row_no", evaluation.judge_premise(F.col("answer"), F.lit(None).cast("string"), F.col("absent"), F.col("truths")).alias("x")).select("row_no", "x.leak", "x.corrected")
 
 
-@query("f22_judge_linked", BASE + """, q as (select id, any_value(gold_entity) as gold, any_value(question) as question from dataset where gold_entity is not null group by id),
-eq as (select q.id, q.gold as x from q union select q.id, e.dst from q join e on e.src = q.gold and e.type in ('IMPLEMENTS', 'DESCRIBES') union select q.id, e.src from q join e on e.dst = q.gold and e.type in ('IMPLEMENTS', 'DESCRIBES')),
-t as (select q.id, list_sort(list(distinct e.dst))[1:3] as top from q join e on e.src = q.gold group by q.id)
-select q.id, coalesce((select bool_or(eq.x = t.top[1]) from eq where eq.id = q.id), false) as hit_1, coalesce((select bool_or(list_contains(t.top, eq.x)) from eq where eq.id = q.id), false) as hit_3 from q left join t on t.id = q.id""")
+@query("f22_judge_linked", _LINK + """, gq as (select id, any_value(gold_entity) as gold from dataset where gold_entity is not null group by id),
+eq as (select gq.id, gq.gold as x from gq union select gq.id, e.dst from gq join e on e.src = gq.gold and e.type in ('IMPLEMENTS', 'DESCRIBES') union select gq.id, e.src from gq join e on e.dst = gq.gold and e.type in ('IMPLEMENTS', 'DESCRIBES')),
+t as (select qid, list(id order by rank) as top from lk where rank <= 3 group by qid)
+select gq.id, coalesce((select bool_or(eq.x = t.top[1]) from eq where eq.id = gq.id), false) as hit_1, coalesce((select bool_or(list_contains(t.top, eq.x)) from eq where eq.id = gq.id), false) as hit_3 from gq left join t on t.qid = gq.id""")
 def _(spark, d):
-    # The anchors judged here are the gold entity's first three targets, which need no retrieval.
     G = test_graph(spark, d)
     q = _table(spark, d, "dataset").where("gold_entity is not null").groupBy("id").agg(F.first("gold_entity").alias("gold"))
     eq = evaluation.gold_equivalents(G.edges, q.select("gold").distinct())
-    top = q.join(G.edges.select(F.col("src").alias("gold"), "dst"), "gold").groupBy("id").agg(F.sort_array(F.collect_set("dst")).alias("anchors"))
+    links = linking.link_entities(G.nodes, questions(spark, d).select(F.col("id").alias("qid"), "question"))
+    top = links.groupBy(F.col("qid").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("id").alias("x")))), lambda x: x["x"]).alias("anchors"))
     out = q.join(eq, "gold").join(top, "id", "left")
     return out.select("id", evaluation.judge_linked(F.col("anchors"), F.col("ids")).alias("x")).select("id", "x.hit_1", "x.hit_3")
+
+
+@query("a13_premise_rates", _PREMISE.replace("select j.row_no,", "select j.row_no, j.\"group\" as g,").replace("select row_no, len", "select row_no, g, len").replace("with d as", "with x as (with d as", 1) + """) select g as "group", count(*) as n, round(avg(leak::int), 4) as leak_rate, round(avg(corrected::int), 4) as corrected_rate from x group by g""")
+def _(spark, d):
+    known = _table(spark, d, "dataset").where("subset = 'PP'").groupBy("id").agg(F.first("absent_keywords").alias("absent"), F.first("truth_anchors").alias("truths"))
+    j = _table(spark, d, "judge_pp_b").join(known, "id")
+    judged = j.select("group", evaluation.judge_premise(F.col("answer"), F.lit(None).cast("string"), F.col("absent"), F.col("truths")).alias("x")).select("group", "x.leak", "x.corrected")
+    return evaluation.premise_rates(judged)
+
+
+# Which questions were asked and how they were routed is what r1_routes checks; here their rates.
+_GOLD = """, gq as (select id, min(subset) as subset, min(gold_entity) as gold, min(gold_behavior) as behavior, min(gold_mode_class) as wanted from dataset where id is not null group by id),
+eq as (select gold, gold as x from gq where gold is not null union select gold, e.dst from gq join e on e.src = gq.gold and e.type in ('IMPLEMENTS', 'DESCRIBES') union select gold, e.src from gq join e on e.dst = gq.gold and e.type in ('IMPLEMENTS', 'DESCRIBES')),
+ls as (select routes.*, gq.*, list_filter(string_split(routes.linked, '|'), lambda x: x <> '') as l from routes join gq on gq.id = routes.qid),
+cls as (select *, case when mode in ('meta', 'overview', 'global') then 'overview' when mode in ('symbol', 'entity_local') then 'symbol' when mode in ('topic', 'llm') then 'topic' else mode end as mc,
+  case when wanted in ('meta', 'overview', 'global') then 'overview' when wanted in ('symbol', 'entity_local') then 'symbol' when wanted in ('topic', 'llm') then 'topic' else wanted end as wc from ls),
+jd as (select subset, behavior, case when gold is not null then exists (select 1 from eq where eq.gold = cls.gold and eq.x = l[1]) end as hit_1, case when gold is not null then exists (select 1 from eq where eq.gold = cls.gold and list_contains(l[1:3], eq.x)) end as hit_3,
+  case when gold is not null then exists (select 1 from eq where eq.gold = cls.gold and list_contains(l, eq.x)) end as recalled,
+  case when behavior is not null then case when behavior = 'should_disambiguate' then needs_disambiguation else not needs_disambiguation and len(l) > 0 and mc = 'symbol' end end as passed, needs_disambiguation as asks, case when wanted is not null then mc = wc end as routed from cls)
+select subset, count(*) as n, round(avg(hit_1::int), 4) as hit_1, round(avg(hit_3::int), 4) as hit_3, round(avg(recalled::int), 4) as recall_gold, round(avg(passed::int), 4) as pass_rate, round(avg(asks::int) filter (behavior = 'should_autopick'), 4) as over_ask,
+  round(avg((not asks)::int) filter (behavior = 'should_disambiguate'), 4) as under_ask, round(avg(routed::int), 4) as routing from jd group by subset"""
+
+
+@query("a13_subset_rates", _ROUTES + _GOLD)
+def _(spark, d):
+    meta = _table(spark, d, "dataset").where("id is not null").groupBy(F.col("id").alias("qid")).agg(*[F.min(c).alias(c) for c in ("subset", "gold_entity", "gold_behavior", "gold_mode_class")])
+    return evaluation.subset_rates(evaluation.judged_contexts(meta, RETRIEVAL["r1_build_context"](spark, d), test_graph(spark, d).edges))
+
+
+@query("f22_judge_overview", """with x as (select row_no, coalesce(answer, '') as text, row_no % 2 = 0 as meta from judge_pp_b),
+h as (select *, contains(text, 'the')::int + contains(text, '没有')::int + contains(text, 'no ')::int + regexp_matches(text, '(^|[^0-9])3($|[^0-9])')::int as facts_hit from x) select row_no, meta and facts_hit >= 2 as passed, meta as mode_ok, facts_hit from h""")
+def _(spark, d):
+    j = _table(spark, d, "judge_pp_b")
+    route = F.when(F.col("row_no") % 2 == 0, F.when(F.col("row_no") % 4 == 0, "meta").otherwise("global")).otherwise("entity_local")
+    x = evaluation.judge_overview(route, F.lit("symbol"), F.col("answer"), F.lit(None).cast("string"), ["the", "没有", "no "], ["3"], 2)
+    return j.select("row_no", x.alias("x")).select("row_no", "x.passed", "x.mode_ok", "x.facts_hit")
+
+
+@query("f22_judge_ambiguous", """with q as (select distinct id, gold_behavior, length(question) % 3 as k from dataset where gold_behavior is not null and question is not null)
+select id, k, case when gold_behavior = 'should_disambiguate' then k = 0 else k = 1 end as passed, k = 0 and gold_behavior <> 'should_disambiguate' as over_ask, k <> 0 and gold_behavior = 'should_disambiguate' as under_ask, k <= 1 as anchored from q""")
+def _(spark, d):
+    # By the question's length: asked back, picked and anchored, picked without an anchor.
+    q = _table(spark, d, "dataset").where("gold_behavior is not null and question is not null").select("id", "gold_behavior", (F.length("question") % 3).alias("k")).distinct()
+    anchors = F.when(F.col("k") <= 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    x = evaluation.judge_ambiguous(F.col("gold_behavior"), F.when(F.col("k") == 0, True), anchors, F.lit("entity_local"))
+    return q.select("id", "k", x.alias("x")).select("id", "k", "x.passed", "x.over_ask", "x.under_ask", "x.anchored")

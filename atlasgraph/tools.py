@@ -42,7 +42,7 @@ class Tools:
     """The tools over a graph that is loaded at first use."""
 
     def __init__(self, spark: SparkSession, load: Callable[[], Graph]):
-        self.spark, self._load, self._graph = spark, load, None
+        self.spark, self._load, self._graph, self._index = spark, load, None, None
 
     @property
     def graph(self) -> Graph:
@@ -54,7 +54,7 @@ class Tools:
         return self._graph
 
     def ask_repo(self, question: str) -> dict:
-        from .operators.bm25 import node_documents
+        from .operators.bm25 import build_index, node_documents
         from .operators.pipeline import build_context
 
         if not isinstance(question, str) or not question.strip():
@@ -65,7 +65,9 @@ class Tools:
         if "text" not in nodes.columns:
             have = [F.col(c) for c in ("docstring", "message", "description") if c in nodes.columns]
             nodes = nodes.withColumn("text", F.coalesce(*have, F.lit(None).cast("string")))
-        row = build_context(Graph(nodes, g.edges), docs, self.spark.createDataFrame([("q", question)], "qid string, question string")).first()
+        if self._index is None:  # of the loaded graph, for all questions
+            self._index = build_index(docs)
+        row = build_context(Graph(nodes, g.edges), docs, self.spark.createDataFrame([("q", question)], "qid string, question string"), index=self._index).first()
         return plain(row)
 
     def impact_analysis(self, symbol: str, depth: int = 2, mode: str = "calls") -> dict:
@@ -99,11 +101,16 @@ class Tools:
         out = {"content": [{"type": "text", "text": json.dumps(result, ensure_ascii=False)}], "structuredContent": result}
         return out | ({"isError": True} if bad else {})
 
-    def handle(self, message: dict) -> dict | None:
-        """The answer to one message; None for a notification."""
+    def handle(self, message: Any) -> dict | None:
+        """The answer to one message; None for a notification. What is no request at all (no object, no method) is told so."""
+        if not isinstance(message, dict) or not isinstance(message.get("method"), str):
+            known = message.get("id") if isinstance(message, dict) else None
+            return {"jsonrpc": "2.0", "id": known, "error": {"code": -32600, "message": "no request"}}
         if "id" not in message:
             return None
         params = message.get("params") or {}
+        if not isinstance(params, dict):
+            return {"jsonrpc": "2.0", "id": message["id"], "error": {"code": -32602, "message": "params must be an object"}}
         match message.get("method"):
             case "initialize":
                 result: dict = {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": {"name": "atlasgraph", "version": "1"}}

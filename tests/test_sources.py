@@ -4,6 +4,7 @@ import io
 import json
 import os
 import subprocess
+import xml.dom.minidom
 
 import pytest
 
@@ -163,6 +164,28 @@ def test_snapshots(spark, tmp_path, indexed):
         sinks.load_cards(spark, str(tmp_path / "c.json"))
 
 
+def test_pictures(spark, tmp_path, indexed):
+    G = indexed[1]
+    files = sinks.render_all(G, str(tmp_path / "v"), limit=5, pictured=3)
+    assert [os.path.basename(f) for f in files][:3] == ["graph.html", "import_graph.svg", "call_graph.svg"]
+    page = open(files[0], encoding="utf-8").read()
+    data = json.loads(page.split('type="application/json">')[1].split("</script>")[0])
+    assert data["total"] == {"nodes": G.nodes.count(), "edges": G.edges.count()} and len(data["nodes"]) == min(5, G.nodes.count())
+    shown = {n["id"] for n in data["nodes"]}
+    assert all(e["src"] in shown and e["dst"] in shown for e in data["edges"]) and all(0 <= n["x"] <= 1000 for n in data["nodes"])
+    for f in files[1:]:
+        assert xml.dom.minidom.parse(f).documentElement.tagName == "svg"
+    none = Graph(G.nodes.limit(0), G.edges.limit(0))
+    assert len(sinks.render_all(none, str(tmp_path / "w"))) == 3 and "nothing to draw" in open(tmp_path / "w" / "call_graph.svg").read()
+
+
+@pytest.mark.parametrize("message, code", [([1, 2], -32600), ("text", -32600), (None, -32600), ({"id": 1}, -32600), ({"id": 1, "method": 5}, -32600), ({"method": None}, -32600), ({"id": 1, "method": "ping", "params": [1]}, -32602), ({"id": 1, "method": "what"}, -32601)])
+def test_what_is_no_request(spark, message, code):
+    answer = Tools(spark, lambda: None).handle(message)
+    assert answer["error"]["code"] == code and answer["id"] == (message.get("id") if isinstance(message, dict) else None)
+    assert Tools(spark, lambda: None).handle({"method": "ping"}) is None
+
+
 def test_cli(indexed, capsys):
     out = indexed[0]
     assert cli.main(["impact", "alpha", "--out", out]) == 0 and "beta" in capsys.readouterr().out
