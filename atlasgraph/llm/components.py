@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 SALTS = 32
 
@@ -46,25 +46,30 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     live = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components-edges")
     while not live.isEmpty():
         # The smaller end is its own candidate, so only the larger end needs its neighbours, and both need themselves.
-        hook = live.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y"))
+        at = stored(live.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y")), "components-hook")
         # Pointers strictly fall along hooks; jumping squares the distance each time.
-        hook = stored(hook, "components-hook")
-        while True:
+        moved = True
+        while moved:
+            hook = at.select("x", "y")
             on = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
             jumped = stored(hook.join(on, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "components-jump")
-            hook = jumped.select("x", "y")
-            if jumped.where("moved").isEmpty():
-                break
+            discard(at)
+            at, moved = jumped, not jumped.where("moved").isEmpty()
+        hook = at.select("x", "y")
         to_a = hook.select(F.col("x").alias("a"), F.col("y").alias("ra"))
         to_b = hook.select(F.col("x").alias("b"), F.col("y").alias("rb"))
         ends = live.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ra", "a").alias("p"), F.coalesce("rb", "b").alias("q"))
-        live = stored(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "components-edges")
+        last, live = live, stored(ends.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "components-edges")
+        discard(last)
         if labels is None:
-            labels = hook
+            labels = at
         else:
             follow = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            moved = labels.join(follow, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
-            labels = stored(moved.unionByName(hook.join(moved.select("x"), "x", "left_anti")), "components-labels")
+            before = labels.select("x", "y")
+            moved_on = before.join(follow, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+            last, labels = labels, stored(moved_on.unionByName(hook.join(before.select("x"), "x", "left_anti")), "components-labels")
+            discard(last, at)
+    labels = labels if labels is None else labels.select("x", "y")
     v = vertices.where("v is not null").select("v").distinct()
     if labels is None:
         return v.withColumn("root", F.col("v"))
