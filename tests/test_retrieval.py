@@ -116,11 +116,21 @@ def test_evaluation(spark):
     assert rows(evaluation.rates(good, ["group"]), "group", "n", "correct") == [("A", 1, 1.0), ("B", 1, 0.0)]
 
 
-def test_terms_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(routing, "TERMS_PER_PASS", 2)
-    texts = routing.node_text(spark.createDataFrame([("a", "uses SQLite here"), ("b", None), ("c", "")], "id string, text string"))
-    t = spark.createDataFrame([("sqlite",), ("SQL",), ("here",), ("redis",), ("",), (None,), ("lite h",)], "term string")
-    assert dict(rows(routing.terms_present(texts, t))) == {"sqlite": True, "SQL": True, "here": True, "redis": False, "": False, None: False, "lite h": True}
+def test_terms_by_pieces(spark):
+    texts = routing.node_text(spark.createDataFrame([("a", "uses SQLite here"), ("b", None), ("c", ""), ("d", "abcx bcde 中文" + "z" * 100_000)], "id string, text string"))
+    # All pieces of abcde are there, but in no text as one.
+    want = {"sqlite": True, "SQL": True, "here": True, "redis": False, "": False, None: False, "lite h": True, "abcde": False, "x": True, "Q": True, "y": False, "he": True, "hx": False, "中": True, "中文": True, "文中": False, "zzzz": True}
+    t = spark.createDataFrame([(x,) for x in want], "term string")
+    assert dict(rows(routing.terms_present(texts, t))) == want
+    assert routing.terms_present(texts, t.limit(0)).count() == 0 and not routing.terms_present(texts.limit(0), t).where("present").count()
+
+
+def test_a_batch_is_searched_like_an_index(spark):
+    docs = spark.createDataFrame([("a", "cursor ledger harbor"), ("b", "cursor cursor 工单索引"), ("c", ""), ("d", None), ("e", "pallet roster")], "id string, text string")
+    q = spark.createDataFrame([("1", "where is the cursor"), ("2", "工单在哪"), ("3", "nothing here"), ("4", None)], "qid string, question string")
+    whole = bm25.topic_recall(bm25.build_index(docs), q, 8, 0.0)
+    assert rows(bm25.search(docs, q, 8, 0.0)) == rows(whole) and whole.count() > 2
+    assert bm25.search(docs.limit(0), q).count() == 0 and bm25.search(docs, q.limit(0)).count() == 0
 
 
 def test_card_cache_and_summary(spark, small, tmp_path):
