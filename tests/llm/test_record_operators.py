@@ -1,6 +1,7 @@
 """Components, split overlaps, shared spans and mixing, against brute force and in awkward cases."""
 
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -117,6 +118,37 @@ def test_band_recall_is_what_is_said():
     assert found >= 0.96 * n
 
 
+def test_pair_bits_keep_every_text_within_the_distance():
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice("abcdefgh才么") for _ in range(rng.randint(1, 120)))
+        e, k = list(t), rng.randint(1, 9)
+        for _ in range(k):
+            i = rng.randrange(len(e) + 1)
+            e[i : i + rng.randint(0, 1)] = rng.choice([[], ["x"], ["y"]])
+        a, b = ([int(w) & (2**64 - 1) for w in row] for row in splits.pair_bits([t, "".join(e)]))
+        assert max(sum((x & ~y).bit_count() for x, y in zip(*p, strict=True)) for p in ((a, b), (b, a))) <= 2 * k
+
+
+def test_rounds_of_bands_are_the_bands():
+    texts = ["", "a", "ab", "somewhat longer text"] * 3 + ["x" * 70_000]
+    whole = splits.batch_keys(texts)
+    assert all((whole[:, i : i + splits.ROUND] == splits.batch_keys(texts, i, splits.ROUND)).all() for i in range(0, splits.BANDS, splits.ROUND))
+    assert (whole[3] == splits.band_keys(texts[3])).all() and splits.batch_keys([]).shape == (0, splits.BANDS)
+
+
+def test_overlaps_leave_no_shuffle_files_of_what_is_written(spark):
+    blocks = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.toString().startswith("shuffle_")}
+    before = blocks()
+    df = spark.createDataFrame([(f"T{i}", "FZ_train", "s", f"how does cursor {i} reach ledger {i * 7}") for i in range(40)] + [("E", "L0", "s", "how does cursor 3 reach ledger 21")], "id string, subset string, source string, question string")
+    splits.overlaps(df)
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before
+
+
 def shared_by_windows(docs, span):
     holders = defaultdict(set)
     for i, t in docs:
