@@ -248,3 +248,16 @@ def test_concept_aliases_and_docstring_batch(spark):
     got = semantic.docstring_batch(mods, fns).first()
     assert got["modules"] == ["r::a.py", "r::c"] and got["candidates"] == ["r::a.py::A.g", "r::a.py::f", "r::c::d::e"]
     assert semantic.docstring_batch(mods.where("id = 'r::b.py'"), fns).count() == 0
+
+
+def test_names_a_question_offers_are_neither_broadcast_nor_kept_for_nothing(spark, small):
+    from atlasgraph.functions.text import may_be_in
+    from atlasgraph.plans.retrieval_queries import QUERIES
+
+    plan = QUERIES["j11_link_entities"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    keys = spark.range(20_000).select(F.concat(F.lit("key_"), F.col("id").cast("string")).alias("k"))
+    others = spark.range(20_000, 60_000).select(F.concat(F.lit("key_"), F.col("id").cast("string")).alias("v"))
+    assert keys.withColumnRenamed("k", "v").where(may_be_in(F.col("v"), keys, "k")).count() == 20_000
+    assert others.where(may_be_in(F.col("v"), keys, "k")).count() < 400
+    assert others.where(may_be_in(F.col("v"), keys.limit(0), "k")).count() == 0
