@@ -261,3 +261,15 @@ def test_names_a_question_offers_are_neither_broadcast_nor_kept_for_nothing(spar
     assert keys.withColumnRenamed("k", "v").where(may_be_in(F.col("v"), keys, "k")).count() == 20_000
     assert others.where(may_be_in(F.col("v"), keys, "k")).count() < 400
     assert others.where(may_be_in(F.col("v"), keys.limit(0), "k")).count() == 0
+
+
+def test_blocks_of_texts_rank_as_the_whole_index(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK", 7)
+    words = "cursor ledger harbor funnel pallet roster beacon shard 词法索引 断言路由".split()
+    docs = [(f"d{i:02}", " ".join(words[(i * j * j + j) % len(words)] for j in range(1 + i % 9))) for i in range(60)] + [("e", ""), ("f", None), ("g", "7")]
+    docs = spark.createDataFrame(docs, "id string, text string")
+    q = spark.createDataFrame([("a", "which cursor in the harbor"), ("b", "断言路由 shard"), ("c", "nothing here"), ("d", "the"), ("e", None)], "qid string, question string")
+    for k, least in ((3, 0.0), (8, 1.0), (1000, 0.0)):
+        got, want = (rows(bm25.topic_recall(x, q, k, least)) for x in (bm25.texts(docs), bm25.build_index(docs)))
+        assert got == want and want
+    assert bm25.search(docs.limit(0), q).count() == 0 and bm25.search(docs, q.limit(0)).count() == 0
