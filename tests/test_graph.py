@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from atlasgraph.operators import graph as g
 from atlasgraph.operators import impact as im
 from atlasgraph.operators import metrics as me
+from atlasgraph.operators import reach
 from atlasgraph.operators.callgraph import merge_calls, resolve_calls, resolve_imports
 
 from .conftest import rows
@@ -186,3 +188,60 @@ def test_caller_pattern_takes_three_hops(app, spark):
     assert got[fid["util"]] == ["Service.run", "compute", "handler_a", "handler_b", "helper"] and got[fid["handler_a"]] == [] and len(got) == 6
     loop = g.Graph(G.nodes, spark.createDataFrame([(fid["util"], "CALLS", fid["compute"]), (fid["compute"], "CALLS", fid["util"])], G.edges.schema))
     assert names(im.caller_pattern(loop, spark.createDataFrame([(fid["util"],)], "id string")).first()["callers"]) == ["compute", "util"]
+
+
+def _random_calls(spark, n=60, calls=150, seed=5):
+    """A graph with a hub, cycles and self loops, and of each function who reaches it within three hops, with the hop."""
+    rng = random.Random(seed)
+    e = {(f"m{rng.randrange(6)}::f{rng.randrange(n):02}", f"m{rng.randrange(6)}::f{rng.randrange(n):02}") for _ in range(calls)} | {(f"m1::f{i:02}", "m0::f00") for i in range(n)}
+    ids = sorted({x for p in e for x in p} | {"m0::alone"})
+    levels = {}
+    for s in ids:
+        seen, front = {s: 0}, {s}
+        for hop in (1, 2, 3):
+            front = {a for a, b in e if b in front} - set(seen)
+            seen |= dict.fromkeys(front, hop)
+        levels[s] = seen
+    nodes = [(i, "Function", i.split("::")[1], i.endswith("7")) for i in ids] + [(f"m{k}", "Module", None, None) for k in range(5)]  # one module isn't known
+    edges = [(a, "CALLS", b) for a, b in e] + [(i[:2], "CONTAINS", i) for i in ids]
+    return g.Graph(spark.createDataFrame(nodes, "id string, label string, qualname string, is_endpoint boolean"), spark.createDataFrame(edges, "src string, type string, dst string")), e, levels
+
+
+def _no_rows(monkeypatch):
+    """Fails where the pairs of a closure are made rows."""
+
+    def rows_of_pairs(*a, **k):
+        raise AssertionError("pairs of a closure as rows")
+
+    monkeypatch.setattr(im, "closure", rows_of_pairs)
+
+
+def test_blast_radius_by_blocks(spark, monkeypatch):
+    G, _, levels = _random_calls(spark)
+    _no_rows(monkeypatch)
+    want = [(s, len(c) - 1, sum(x.endswith("7") for x in c if x != s)) for s, c in levels.items()]
+    assert rows(im.blast_radius(G, 3), "id", "blast_radius", "blast_endpoints") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("places, step", [(1, 1), (1 << 9, 7), (1 << 20, 1 << 20)])
+def test_blocks_of_any_size(monkeypatch, places, step):
+    rng = random.Random(places)
+    e = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)} | {(0, i) for i in range(20)}
+    monkeypatch.setattr(reach, "PLACES", places)
+    monkeypatch.setattr(reach, "STEP", step)
+    pack = lambda pairs: np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
+    block = reach.Block(2, np.arange(40), pack(e), np.arange(0, 40, 3), pack((i, i % 4) for i in range(30)), None)
+    got = {}
+    for batch in block.batches():
+        cut, modules = batch.cut(), batch.modules()
+        for i, s in enumerate(batch.seeds):
+            of = lambda keys: sorted(block.node(keys[keys >> block.shift == i]).tolist())  # noqa: B023, E731
+            got[int(s)] = [[of(k) for k in batch.levels], bool(cut[i]), of(modules)]
+    for s in range(40):
+        seen, front, levels = {s}, {s}, [[s]]
+        for _ in range(2):
+            front = {b for a, b in e if a in front} - seen
+            seen |= front
+            levels.append(sorted(front))
+        more = bool({b for a, b in e if a in front} - seen)
+        assert [x for x in got[s][0] if x] == [x for x in levels if x] and got[s][1:] == [more, sorted({x % 4 for x in seen if x < 30})]
