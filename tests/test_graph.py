@@ -245,3 +245,11 @@ def test_blocks_of_any_size(monkeypatch, places, step):
             levels.append(sorted(front))
         more = bool({b for a, b in e if a in front} - seen)
         assert [x for x in got[s][0] if x] == [x for x in levels if x] and got[s][1:] == [more, sorted({x % 4 for x in seen if x < 30})]
+
+
+def test_truncated_seeds_by_blocks(spark, monkeypatch):
+    G, e, levels = _random_calls(spark)
+    _no_rows(monkeypatch)
+    want = [(s, True) for s, c in levels.items() if {a for a, b in e if c.get(b) == 3} - set(c)]
+    seeds = g.by_label(G.nodes, "Function").select(F.col("id").alias("seed"))
+    assert want and rows(im.truncated_seeds(seeds, g.reverse(G.edges, "CALLS"), 3)) == sorted(want, key=repr)
