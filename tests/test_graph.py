@@ -253,3 +253,14 @@ def test_truncated_seeds_by_blocks(spark, monkeypatch):
     want = [(s, True) for s, c in levels.items() if {a for a, b in e if c.get(b) == 3} - set(c)]
     seeds = g.by_label(G.nodes, "Function").select(F.col("id").alias("seed"))
     assert want and rows(im.truncated_seeds(seeds, g.reverse(G.edges, "CALLS"), 3)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["impact_modules_all", "impact_modules"])
+def test_impact_modules_by_blocks(spark, monkeypatch, name):
+    from atlasgraph.operators import evaluation
+
+    G, _, levels = _random_calls(spark)
+    _no_rows(monkeypatch)
+    homes = {s: sorted({x[:2] for x in c if x[:2] != "m5"}) for s, c in levels.items() if name.endswith("_all") or s.endswith("7")}
+    got = rows(evaluation.recipes(G, name), "key", "n", "first", "last")
+    assert got == sorted([(s, len(h), h[0], h[-1]) for s, h in homes.items() if h], key=repr)
