@@ -264,3 +264,15 @@ def test_impact_modules_by_blocks(spark, monkeypatch, name):
     homes = {s: sorted({x[:2] for x in c if x[:2] != "m5"}) for s, c in levels.items() if name.endswith("_all") or s.endswith("7")}
     got = rows(evaluation.recipes(G, name), "key", "n", "first", "last")
     assert got == sorted([(s, len(h), h[0], h[-1]) for s, h in homes.items() if h], key=repr)
+
+
+def test_impact_lists_by_blocks(spark, monkeypatch):
+    G, e, levels = _random_calls(spark)
+    _no_rows(monkeypatch)
+    got = {r["resolved_symbol"]: r for r in im.impact(G, g.by_label(G.nodes, "Function").select("id"), 3, "calls").collect()}
+    assert set(got) == set(levels)
+    for s, c in levels.items():
+        r = got[s]
+        assert r["direct_callers"] == sorted(x for x, k in c.items() if k == 1) and r["transitive_callers"] == sorted(x for x, k in c.items() if k > 1)
+        assert r["affected_endpoints"] == sorted(x for x in c if x.endswith("7")) and r["affected_modules"] == sorted({x[:2] for x in c if x[:2] != "m5"})
+        assert r["truncated"] is bool({a for a, b in e if c.get(b) == 3} - set(c))
