@@ -1,6 +1,7 @@
 """Recall against plain Python, disambiguation bands, routing, premises, alignment, cards, evaluation."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -273,3 +274,33 @@ def test_blocks_of_texts_rank_as_the_whole_index(spark, monkeypatch):
         got, want = (rows(bm25.topic_recall(x, q, k, least)) for x in (bm25.texts(docs), bm25.build_index(docs)))
         assert got == want and want
     assert bm25.search(docs.limit(0), q).count() == 0 and bm25.search(docs, q.limit(0)).count() == 0
+
+
+def test_gold_ranks_equal_the_whole_ranking(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)] + ["终止流程", "prefetch", "queues"]
+    docs = [(i, " ".join(rng.choices(words, k=12)) + (" Prefetch queues" if i % 5 == 0 else "")) for i in range(80)] + [(200 + i, "same text w1 w2 fetch queue") for i in range(3)]
+    docs += [(300, "no shared term: 恢复 x fetch queue"), (301, "")]
+    asked = [(f"q{i}", " ".join(rng.choices(words, k=3))) for i in range(12)] + [("same", "w1 w2"), ("none", "zz"), ("bare", None)]
+    # phrases that start or end within a word, a short one, one in capitals, one nobody holds, two of one question
+    phrases = [(q, p) for (q, _), p in zip(asked, ["fetch queue", "w3", "W1 W2", "nobody", "w4 w", "fetch queue", "流程 w", "s", "w29 w", "w5", "fetch", "queues", "fetch queue", "fetch queue", "w1"])] + [("q0", "w7 w"), ("q1", None)]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "qid string, question string")
+    ranks = {(r["qid"], r["id"]): r["rank"] for r in bm25.ranking(bm25.build_index(d), q, 1_000_000, 0.0).collect()}
+    want = {}
+    for qid, p in phrases:
+        for i, text in docs:
+            if p is not None and p.lower() in text.lower() and (qid, i) in ranks:
+                want[qid] = min(want.get(qid, (10**9, 0)), (ranks[qid, i], i))
+    monkeypatch.setattr(bm25, "BLOCK", 20)
+    monkeypatch.setattr(bm25, "build_index", None)
+    got = {r["qid"]: (r["rank"], r["id"]) for r in bm25.gold_ranks(d, q, spark.createDataFrame(phrases, "qid string, phrase string")).collect()}
+    assert got == want and len(want) > 6 and want["same"] == (ranks["same", 200], 200)
+
+
+@pytest.mark.parametrize("name", ["a19_failure_attribution"])
+def test_evaluation_needs_no_index(spark, small, monkeypatch, name):
+    import __spark_entry__
+
+    monkeypatch.setattr(bm25, "build_index", None)
+    df = __spark_entry__.queries()[name](spark, small)
+    assert df.count() >= 4
