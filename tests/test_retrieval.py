@@ -297,7 +297,7 @@ def test_gold_ranks_equal_the_whole_ranking(spark, monkeypatch):
     assert got == want and len(want) > 6 and want["same"] == (ranks["same", 200], 200)
 
 
-@pytest.mark.parametrize("name", ["a19_failure_attribution"])
+@pytest.mark.parametrize("name", ["a18_calibration_grid", "a19_failure_attribution"])
 def test_evaluation_needs_no_index(spark, small, monkeypatch, name):
     import __spark_entry__
 
