@@ -276,3 +276,18 @@ def test_impact_lists_by_blocks(spark, monkeypatch):
         assert r["direct_callers"] == sorted(x for x, k in c.items() if k == 1) and r["transitive_callers"] == sorted(x for x, k in c.items() if k > 1)
         assert r["affected_endpoints"] == sorted(x for x in c if x.endswith("7")) and r["affected_modules"] == sorted({x[:2] for x in c if x[:2] != "m5"})
         assert r["truncated"] is bool({a for a, b in e if c.get(b) == 3} - set(c))
+
+
+def test_metrics_that_are_not_asked_for_are_not_worked_out(app, monkeypatch):
+    G = g.Graph(app[0].nodes.withColumn("created_at", F.lit(None).cast("timestamp")), app[0].edges.withColumn("lines_added", F.lit(1)).withColumn("lines_deleted", F.lit(0)))
+    every = {r["id"]: r for r in me.all_metrics(G).where("label = 'Function'").collect()}
+
+    def looped(*a, **k):
+        raise AssertionError("worked out for nothing")
+
+    monkeypatch.setattr(me, "blast_radius", looped)
+    monkeypatch.setattr(me, "pagerank", looped)
+    wanted = ["fan_in", "commits_all", "commits_90d", "churn_90d", "heat", "fix_involvement"]
+    some = me.all_metrics(G, wanted=wanted).collect()
+    assert len(some) == len(every) == 6
+    assert all([r[c] for c in wanted] == [every[r["id"]][c] for c in wanted] for r in some)
