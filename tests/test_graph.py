@@ -343,3 +343,24 @@ def test_complexity_parses_only_files_that_hold_functions(spark):
     files = spark.createDataFrame(texts, "repo string, relpath string, source_text string")
     ids = spark.createDataFrame([("r::src/a.py::f",), ("r::src/a.py::C.g",), ("r::b.py::f",), ("r::c.py",), ("f",), ("s::src/a.py::other::f",)], "id string")
     assert rows(ps.complexity(files, ids), "id", "cyclomatic") == [("r::b.py::f", 2), ("r::src/a.py::C.g", 1), ("r::src/a.py::f", 1)]
+
+
+def test_impact_texts_by_blocks(spark, monkeypatch):
+    G, _, levels = _random_calls(spark)
+    _no_rows(monkeypatch)
+    monkeypatch.setattr(reach, "LISTED", 50)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    edges = G.edges.mapInArrow(counted, G.edges.schema)
+    got = {r["resolved_symbol"]: r for r in im.impact(g.Graph(G.nodes, edges), g.by_label(G.nodes, "Function").select("id"), 3, "calls", joined="|").collect()}
+    assert read.value == G.edges.count()  # the graph is worked out once
+    assert set(got) == set(levels)
+    for s, c in levels.items():
+        r = got[s]
+        assert r["direct_callers"] == "|".join(sorted(x for x, k in c.items() if k == 1)) and r["transitive_callers"] == "|".join(sorted(x for x, k in c.items() if k > 1))
+        assert r["affected_endpoints"] == "|".join(sorted(x for x in c if x.endswith("7"))) and r["affected_modules"] == "|".join(sorted({x[:2] for x in c if x[:2] != "m5"}))
