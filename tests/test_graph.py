@@ -364,3 +364,14 @@ def test_impact_texts_by_blocks(spark, monkeypatch):
         r = got[s]
         assert r["direct_callers"] == "|".join(sorted(x for x, k in c.items() if k == 1)) and r["transitive_callers"] == "|".join(sorted(x for x, k in c.items() if k > 1))
         assert r["affected_endpoints"] == "|".join(sorted(x for x in c if x.endswith("7"))) and r["affected_modules"] == "|".join(sorted({x[:2] for x in c if x[:2] != "m5"}))
+
+
+def test_large_closures_lie_evenly():
+    large = 40  # of 2000 seeds, side by side
+    pairs = [(i, 2000 + k) for i in range(700, 700 + large) for k in range(900)]
+    block = reach.Block(1, np.arange(2000), np.array([a << 32 | b for a, b in pairs], dtype=np.int64), np.empty(0, np.int64), np.empty(0, np.int64), None)
+    block.even()
+    seeds = np.concatenate([batch.seeds for batch in block.batches()])
+    assert sorted(seeds) == list(range(2000)) and 700 <= seeds[0] < 700 + large
+    per = ((seeds >= 700) & (seeds < 700 + large)).reshape(20, 100).sum(axis=1)
+    assert per.min() >= 1 and per.max() <= 4
